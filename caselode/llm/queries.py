@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import frequent
+from caselode.llm import frequent, neardup
 from caselode.sources.tables import table
 
 #: Share of the sum over all findings from which a value counts as frequent.
@@ -17,6 +17,10 @@ def indicator(column: str = "value"):
     return F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_copies(table(spark, d, "files"))
+
+
 def p3_frequent(spark: SparkSession, d: str) -> DataFrame:
     return frequent.frequent_items(table(spark, d, "findings"), indicator(), ["subtype"], F.col("count"), share=FREQUENT_SHARE)
 
@@ -35,7 +39,7 @@ _WEIGHED = r"""select subtype, lower(regexp_replace(value, '^\s+|\s+$', '', 'g')
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top}
 
 
 def oracle_sql() -> dict[str, str]:
