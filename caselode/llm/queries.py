@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import frequent, neardup
+from caselode.llm import frequent, neardup, sentences
 from caselode.sources.tables import table
 
 #: Share of the sum over all findings from which a value counts as frequent.
@@ -34,12 +34,16 @@ def p3_top(spark: SparkSession, d: str) -> DataFrame:
     return frequent.frequent_items(table(spark, d, "findings"), indicator(), ["subtype"], F.col("count"), k=20)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 _WEIGHED = r"""select subtype, lower(regexp_replace(value, '^\s+|\s+$', '', 'g')) as value, cast(sum(greatest(coalesce("count", 1), 0)) as bigint) as total
     from findings where value is not null group by 1, 2"""
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
