@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import frequent, neardup, newtext, sentences
+from caselode.llm import frequent, mojibake, neardup, newtext, sentences
 from caselode.sources.tables import table
 
 #: Share of the sum over all findings from which a value counts as frequent.
@@ -34,8 +34,17 @@ def p3_top(spark: SparkSession, d: str) -> DataFrame:
     return frequent.frequent_items(table(spark, d, "findings"), indicator(), ["subtype"], F.col("count"), k=20)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_texts(table(spark, d, "artifact_items")).select("item_id")
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the garbled items, read back where possible."""
+    return mojibake.garbled_texts(table(spark, d, "artifact_items"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return newtext.newly_written(table(spark, d, "artifact_items"))
+    return newtext.newly_written(table(spark, d, "artifact_items"), mojibake.utf8_lines)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +56,7 @@ _WEIGHED = r"""select subtype, lower(regexp_replace(value, '^\s+|\s+$', '', 'g')
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top, "p5_found": p5_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
