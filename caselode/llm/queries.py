@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import frequent, mojibake, neardup, newtext, sentences
+from caselode.llm import frequent, mixing, mojibake, neardup, newtext, packing, sentences, tokens
+from caselode.session import cut
 from caselode.sources.tables import table
 
 #: Share of the sum over all findings from which a value counts as frequent.
@@ -47,6 +48,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return newtext.newly_written(table(spark, d, "artifact_items"), mojibake.utf8_lines)
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cut(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
+def p6_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Where every document (or piece of one larger than the pack) lies, for each capacity."""
+    return packing.pack_all(_sizes(spark, d), table(spark, d, "pack_sizes")).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Packs used against the least possible number, and the room left."""
+    return packing.pack_report(packing.pack_all(_sizes(spark, d), table(spark, d, "pack_sizes")))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each occurs."""
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares really reached."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_report(cut(mixing.mix(_sizes(spark, d), targets)), targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
@@ -56,7 +82,7 @@ _WEIGHED = r"""select subtype, lower(regexp_replace(value, '^\s+|\s+$', '', 'g')
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_frequent": p3_frequent, "p3_top": p3_top, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p6_packs": p6_packs, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
