@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds between 1601 and 1970, and the year 2100 beyond which file times are nonsense.
 FILETIME_ZERO_S = 11_644_473_600
@@ -109,7 +110,7 @@ def rtf_text(text: Column) -> Column:
     return tidy_text(F.regexp_replace(t, r"[{}\\]", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C; NULL stays NULL."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
@@ -119,7 +120,7 @@ def normalise_query(text: Column) -> Column:
     return F.lower(nfc(text))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _doc_id(s: pd.Series) -> pd.Series:
     return s.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") & 0x7FFF_FFFF_FFFF_FFFF, na_action="ignore")
 
