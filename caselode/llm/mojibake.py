@@ -110,7 +110,7 @@ def utf8_lines(text: str) -> str:
 
 def _pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the neighbouring pairs with a non-ASCII character; digits are alike."""
-    a = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     a = np.where((a >= 48) & (a <= 57), 48, a).astype(np.uint64)
     x, y = a[:-1], a[1:]
     keep = (x > 127) | (y > 127)
@@ -130,8 +130,9 @@ class Model:
         self.logp = np.full(BUCKETS, np.log(0.3 / (total + BUCKETS)), dtype=np.float32)
         self.logp[buckets] = np.log((counts + 0.3) / (total + BUCKETS))
 
-    def score(self, text: str) -> float:
-        at, _ = _pairs(text)
+    def score(self, text: str, before: str = " ", after: str = " ") -> float:
+        """Mean log probability of the pairs with a non-ASCII character of a stretch between two characters."""
+        at, _ = _pairs(before + text + after)
         return float(self.logp[at].mean()) if len(at) else ASCII_SCORE
 
 
@@ -160,12 +161,12 @@ def _lettered(text: str, out: str) -> bool:
 
 
 #: A mark that is no letter, a letter of another script in a Latin word, or a change of case within a word.
-_ODD = re.compile(r"(?:(?![\x00-\x7f])[\W_]|[A-Za-z][^\x00-\x7f\u00c0-\u024f\u2018-\u201f]|(?![\x00-\x7f])[^\u00c0-\u024f\u2018-\u201f][A-Za-z]|[a-z][À-ÖØ-Þ]|[ß-öø-ÿ][A-Z]|[?!.,][ß-öø-ÿ])")
+_ODD = re.compile(r"(?:(?![\x00-\x7f «»¿¡‐-‧])[\W_]|[A-Za-z][^\x00-\x7f\u00c0-\u024f\u2018-\u201f]|(?![\x00-\x7f])[^\u00c0-\u024f\u2018-\u201f][A-Za-z]|[a-z][À-ÖØ-Þ]|[ß-öø-ÿ][A-Z]|[?!.,][ß-öø-ÿ])")
 
 
-def _best(text: str, model: Model, learned: frozenset) -> tuple[str, str, str] | None:
+def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ") -> tuple[str, str, str] | None:
     """read_as, written_in and the reading that gains most, if one gains enough."""
-    own = model.score(text)
+    own = model.score(text, before, after)
     marks = sum(not c.isascii() for c in text)
     likely = own >= LIKELY
     two = _TWO.search(text) is not None
@@ -211,7 +212,7 @@ def _best(text: str, model: Model, learned: frozenset) -> tuple[str, str, str] |
                     continue
             else:
                 least = GAIN_LEARNED * min(1.0, 8 / marks) if known else max(0.9, GAIN_OTHER * 4 / marks)
-            gain = model.score(out) - own
+            gain = model.score(out, before, after) - own
             if gain >= least and (best is None or gain > most + 0.05):
                 best, most = (r, w, out), gain
     return best
@@ -250,7 +251,7 @@ def _repair_unit(unit: str, model: Model, learned: frozenset) -> str:
         if text == unit:
             continue
         for _ in range(3):
-            best = _best(text, model, learned)
+            best = _best(text, model, learned, unit[m.start() - 1] if m.start() else " ", unit[m.end()] if m.end() < len(unit) else " ")
             if best is None:
                 break
             text = best[2]
@@ -281,7 +282,7 @@ def character_model(texts: DataFrame) -> Model:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text.isascii():
-                    at, _ = _pairs(text)
+                    at, _ = _pairs(f" {text} ")
                     np.add.at(sums, at, 1)
                     chars.update(re.sub(r"[\x00-\x7f]+", "", text))
         some = np.flatnonzero(sums)
