@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from caselode.functions.digests import WORDS, digest_columns, digest_distance
 from caselode.functions.scalars import tokens
-from caselode.functions.times import let
 
 #: Published defaults of the relevance formula.
 K1, B = 1.2, 0.75
@@ -104,9 +103,9 @@ def similar_files(files: DataFrame, digest: str, most: int = 80, k: int = 300) -
     if q["hd"] is None:
         raise ValueError("malformed digest")
     query = {n: F.lit(q[n]).cast("int" if n == "hd" else "bigint") for n in (*WORDS, "hd")}
-    parsed = F.struct(*[c.alias(n) for n, c in digest_columns(F.col("tlsh")).items()])
-    distance = let(parsed, lambda c: F.when(c["hd"].isNotNull(), digest_distance({n: c[n] for n in (*WORDS, "hd")}, query).cast("int")))
-    near = files.select("id", "path", distance.alias("distance")).where(F.col("distance") <= most)
+    # a generated row keeps the optimizer from writing the parsing out once for each use of a field
+    rows = files.select("id", "path", F.inline(F.array(F.struct(*[c.alias(n) for n, c in digest_columns(F.col("tlsh")).items()])))).where("hd is not null")
+    near = rows.select("id", "path", digest_distance({n: F.col(n) for n in (*WORDS, "hd")}, query).cast("int").alias("distance")).where(F.col("distance") <= most)
     return near.orderBy("distance", "id").limit(k)
 
 

@@ -19,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder, without its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows go to all cores, for costly functions: only if it has fewer splits than there are cores is it shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
