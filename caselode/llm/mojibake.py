@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselode.session import cut
+from caselode.session import cut, spread
 
 BUCKETS = 1 << 18
 #: Gain of the mean log probability of a non-ASCII character pair from which a reading counts: learned and other pairs of encodings.
@@ -342,6 +342,7 @@ def garbled_texts(df: DataFrame, id_col: str = "item_id", text_col: str = "text"
     any length are read whole. Other columns are ignored.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = spread(rows)
     texts = rows.select("text")
     model = character_model(texts)
     learned = learn_transformations(texts, model)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselode.session import spread
+
 #: Abbreviations that do not end a sentence before a word (titles, Latin and other phrases).
 TITLES = frozenset(
     "dr prof mr mrs ms lt sgt capt col gen rev hon st messrs mme mlle me m sr sra srta dra d dña herr fr fa hr jun u.s u.k e.u "
@@ -284,4 +286,4 @@ def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                     ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["id", "start_pos", "end_pos"])
 
-    return rows.mapInArrow(run, "id bigint, start_pos bigint, end_pos bigint").select(F.col("id").alias(id_col), "start_pos", "end_pos")
+    return spread(rows).mapInArrow(run, "id bigint, start_pos bigint, end_pos bigint").select(F.col("id").alias(id_col), "start_pos", "end_pos")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselode.session import spread
+
 #: A vocabulary file of ranks; the same path must exist on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published pre-tokenizer pattern of this family of vocabularies.
@@ -35,4 +37,4 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, *keep: str, vocabula
             n = pa.array([len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, *batch.columns[2:]], names=["id", "n_tokens", *keep])
 
-    return rows.mapInArrow(count, ", ".join(["id bigint", "n_tokens bigint", *[f"`{c}` string" for c in keep]]))
+    return spread(rows).mapInArrow(count, ", ".join(["id bigint", "n_tokens bigint", *[f"`{c}` string" for c in keep]]))
