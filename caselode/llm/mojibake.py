@@ -69,7 +69,7 @@ def _known_pairs() -> dict[str, tuple[str, ...]]:
 KNOWN = _known_pairs()
 _UNITS = re.compile(r"[^\n\r]+")
 _CELLS = re.compile(r" \| | = ")
-_ISLAND = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z]+|[\x21-\x40\x5b-\x60\x7b-\x7e ]{1,2}(?=[A-Za-z]{0,2}[^\x00-\x7f]))*")
+_ISLAND = re.compile(r"(?:(?<![A-Za-z])[A-Za-z]+)?[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z]+|[\x21-\x40\x5b-\x60\x7b-\x7e ]{1,2}(?=[A-Za-z]{0,2}[^\x00-\x7f]))*")
 _LATIN = {chr(b): bytes([b]) for b in range(0x80, 0xA0)}
 
 

@@ -16,6 +16,7 @@ Each text is handled alone, so the operator is one narrow stage without a shuffl
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,22 +71,23 @@ def _caseless(ch: str) -> bool:
 def _depths(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     """Extents (first inner position, position of the closing mark) of matched quotations and brackets."""
     stack: list[tuple[str, int]] = []
+    held: Counter = Counter()  # open marks by kind, so that a mark without a partner costs nothing
     out = []
     for m in re.finditer(r"[“”„«»()（）「」『』\[\]【】《》〈〉]", text[lo:hi]):
         ch, at = m[0], lo + m.start()
-        if ch == "“" and any(c == "„" for c, _ in stack):
+        if ch == "“" and held["„"]:
             want = "„"
         elif ch in _PAIR:
-            want = _PAIR[ch]
-            if ch == "”" and not any(c == "“" for c, _ in stack) and any(c == "„" for c, _ in stack):
-                want = "„"
+            want = "„" if ch == "”" and not held["“"] and held["„"] else _PAIR[ch]
         else:
             stack.append((ch, at))
+            held[ch] += 1
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == want:
-                out.append((stack[k][1] + 1, at))
-                del stack[k:]
+        while held[want]:
+            mark, begin = stack.pop()
+            held[mark] -= 1
+            if mark == want:
+                out.append((begin + 1, at))
                 break
     return out
 
@@ -196,14 +198,16 @@ def _block(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     at = sorted(ends)
     local = [ends[e] for e in at]
     pairs = _depths(text, lo, hi)
-    inside = [any(a < e <= b for a, b in pairs) for e in at]
+    starts, stops = np.sort([a for a, _ in pairs]), np.sort([b for _, b in pairs])
+    inside = (np.searchsorted(starts, at) > np.searchsorted(stops, at)).tolist()
     straight = text.count('"', lo, hi) > 0
-    start = 0
-    begin = lo
+    start, begin, marks, seen = 0, lo, 0, lo
     for k, e in enumerate(at):
-        if e == hi or local[k] >= SURE and not inside[k] and not straight:
+        if straight:
+            marks, seen = marks + text.count('"', seen, e), e
+        if e == hi or local[k] >= SURE and not inside[k] and marks % 2 == 0:
             yield from _spans(text, begin, at[start : k + 1], local[start : k + 1], inside[start : k + 1], straight)
-            start, begin = k + 1, e
+            start, begin, marks = k + 1, e, 0
 
 
 def _spans(text: str, begin: int, at: list[int], local: list[float], inside: list[bool], straight: bool) -> Iterator[tuple[int, int]]:
