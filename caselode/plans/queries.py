@@ -262,6 +262,18 @@ def rule_counts(spark, d):
     return rules.rule_counts(rules.rule_matches(table(spark, d, "documents"), "text", "source", rules=USER_RULES), "source")
 
 
+def artifact_kinds(spark, d):
+    """Files by the kind of container that their name tells (no content is at hand)."""
+    from caselode.sources.containers import artifact_kind
+
+    return table(spark, d, "files").select(artifact_kind(F.col("name"), F.lit(None).cast("binary")).alias("kind"), "size_bytes").groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+def findings_capped(spark, d):
+    """Whether a list of the 5,000 first findings leaves some out, and the weight of those left out."""
+    return findings.capped(table(spark, d, "findings").select("id", "evidence_id", "first_offset", "count"), ["id", "evidence_id", "first_offset"], 5000)[1]
+
+
 def header_dates(spark, d):
     m = table(spark, d, "case_metadata").where(F.col("metadata_field").isin("AcquiredDate", "SystemDate"))
     return m.select("meta_id", scalars.header_date(F.col("value")).alias("iso"))
@@ -363,7 +375,7 @@ def queries() -> dict:
         p1_found, ioc_all_kinds, findings_summary, findings_top, findings_filter, findings_count, findings_dedup, indicator_rollup, carved_top, carved_search, known_counts, hashset_dedup,
         orphan_hashes, orphan_sweep, set_totals, known_label, sha256_prefix_search, name_substring_search, regex_path_search, search_union, hits_best, path_lookup, snapshot_dedup, snapshot_stats,
         keyword_search, term_stats, hide_known, hit_evidence, hit_items, container_items, item_meta, provenance_describe, origin_counts, csv_safe_export, document_hashes, tidy_documents, token_counts,
-        rtf_texts, rule_matches, rule_counts, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, audit_chain_heads,
+        rtf_texts, rule_matches, rule_counts, artifact_kinds, findings_capped, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, audit_chain_heads,
         event_gaps, doc_ids, tlsh_similar, keyword_fallback, stream_event_counts,
     ]
     return {f.__name__: f for f in own} | {f"ioc_{k}_findings": _ioc(k) for k in ("email", "ipv4", "phone")} | {f"ioc_{k}_values": _values(k) for k in ("url", "ipv6", "mac", "btc", "onion", "cc")}
@@ -464,6 +476,18 @@ def oracle_sql() -> dict[str, str]:
             union all select doc_id, 'Two_Tools', 'tools' from documents where contains(text, 'hivedump')::int + contains(text, 'imgwalk')::int + contains(text, 'snaplist')::int >= 2 and not contains(text, 'hivedump')""",
         "rule_counts": r"""select rule, source, count(*) as count from (select source, 'Long_Hash_Mention' as rule from documents where regexp_matches(text, 'hash begins with [0-9a-f]{12}') or contains(lower(text), 'carvex')
             union all select source, 'Two_Tools' from documents where contains(text, 'hivedump')::int + contains(text, 'imgwalk')::int + contains(text, 'snaplist')::int >= 2 and not contains(text, 'hivedump')) group by all""",
+        "artifact_kinds": """with f as (select lower(name) as low, case when contains(lower(name), '.') then regexp_extract(lower(name), '[^.]*$') else '' end as ext, size_bytes from files)
+            select case when ext in ('crypt12', 'crypt14', 'crypt15') then 'whatsapp_encrypted' when ext in ('mem', 'vmem', 'raw', 'lime', 'dmp', 'core') then 'memory' when ext in ('pcap', 'pcapng', 'cap') then 'pcap'
+            when low in ('ntuser.dat', 'usrclass.dat', 'system', 'software', 'sam', 'security', 'default', 'components', 'drivers', 'bcd') then 'registry' when ext in ('pst', 'ost', 'pab') then 'pst'
+            when ext in ('edb', 'ese') then 'esedb' when ext in ('db', 'sqlite', 'sqlite3', 'db3') then 'sqlcipher' when contains(low, 'quarantine') and ext in ('', 'dat') then 'defender_quarantine' else '' end as kind,
+            count(*) as files, cast(sum(size_bytes) as bigint) as bytes from f group by 1""",
+        "findings_capped": """with k as (select * from findings order by id, evidence_id, first_offset limit 5000)
+            select (select count(*) from findings) > 5000 as truncated, cast((select coalesce(sum(count), 0) from findings) - (select coalesce(sum(count), 0) from k) as bigint) as dropped""",
+        "header_dates": r"""with m as (select meta_id, trim(coalesce(value, '')) as v, try_cast(trim(value) as bigint) as n, regexp_split_to_array(trim(value), '\s+') as p from case_metadata where metadata_field in ('AcquiredDate', 'SystemDate')),
+            s as (select *, case when length(v) = 13 then n // 1000 else n end as s from m)
+            select meta_id, case when regexp_full_match(v, '\d{1,18}') and s > 0 and s < 4102444800 then strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') || ' UTC'
+            when regexp_matches(v, '^\d{1,4}( +\d{1,2}){5}( |$)') then lpad(p[1], 4, '0') || '-' || lpad(p[2], 2, '0') || '-' || lpad(p[3], 2, '0') || ' ' || lpad(p[4], 2, '0') || ':' || lpad(p[5], 2, '0') || ':' || lpad(p[6], 2, '0')
+            else v end as iso from s""",
         "safe_names": f"select id, {_SAFE.format(path='path')} as name from files",
         "hash_types": """select id, case length(h) when 32 then 'md5' when 40 then 'sha1' else 'sha256' end as algo, h as hash from (
             select id, lower(regexp_replace(unnest([' ''' || upper(md5) || ''' ', sha256, name]), '^[\\s"'']+|[\\s"'']+$', '', 'g')) as h from files) where regexp_full_match(h, '[0-9a-f]+') and length(h) in (32, 40, 64)""".replace("\\\\s", "\\s"),
