@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from caselode.session import cut, spread
 
 BUCKETS = 1 << 18
+#: Characters counted at a time.
+CHUNK = 200_000
 #: Gain of the mean log probability of a non-ASCII character pair from which a reading counts: learned and other pairs of encodings.
 GAIN_LEARNED = 1.2
 GAIN_OTHER = 2.2
@@ -170,11 +172,13 @@ def _best(text: str, model: Model, learned: frozenset, before: str = " ", after:
     marks = sum(not c.isascii() for c in text)
     likely = own >= LIKELY
     two = _TWO.search(text) is not None
+    if likely and not two:
+        return None
     odd = _ODD.search(text) is not None
     best, most = None, 0.0
     for r, written in KNOWN.items():
         single = r in SINGLE
-        if likely and not (single and two):
+        if likely and not single:
             continue
         data = _encode(text, r)
         if data is None:
@@ -225,9 +229,9 @@ def repair_text(text: str, model: Model, learned: frozenset, cache: dict | None
     for a, b in _units(text):
         unit = text[a:b]
         if unit not in cache:
-            if len(cache) > 20_000:
+            if len(cache) > 50_000:
                 cache.clear()
-            cache[unit] = _repair_unit(unit, model, learned)
+            cache[unit] = _repair_unit(unit, model, learned, cache)
         fixed = cache[unit]
         if fixed != unit:
             found = True
@@ -236,7 +240,16 @@ def repair_text(text: str, model: Model, learned: frozenset, cache: dict | None
     return "".join([*out, text[at:]]), found
 
 
-def _repair_unit(unit: str, model: Model, learned: frozenset) -> str:
+def _repair_island(text: str, model: Model, learned: frozenset, before: str, after: str) -> str:
+    for _ in range(3):
+        best = _best(text, model, learned, before, after)
+        if best is None:
+            break
+        text = best[2]
+    return text
+
+
+def _repair_unit(unit: str, model: Model, learned: frozenset, cache: dict) -> str:
     for _ in range(3):  # text can be garbled twice
         best = _best(unit, model, learned)
         if best is None:
@@ -247,14 +260,12 @@ def _repair_unit(unit: str, model: Model, learned: frozenset) -> str:
     # stretches within a unit
     out, at = [], 0
     for m in _ISLAND.finditer(unit):
-        text = m[0]
-        if text == unit:
+        if m[0] == unit:
             continue
-        for _ in range(3):
-            best = _best(text, model, learned, unit[m.start() - 1] if m.start() else " ", unit[m.end()] if m.end() < len(unit) else " ")
-            if best is None:
-                break
-            text = best[2]
+        key = (unit[m.start() - 1] if m.start() else " ", m[0], unit[m.end()] if m.end() < len(unit) else " ")  # words recur
+        if key not in cache:
+            cache[key] = _repair_island(m[0], model, learned, key[0], key[2])
+        text = cache[key]
         if text != m[0]:
             out += [unit[at : m.start()], text]
             at = m.end()
@@ -279,15 +290,27 @@ def character_model(texts: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, chars = np.zeros(BUCKETS, np.int64), Counter()
+
+        def add(some: list[str]) -> None:
+            text = f" {' '.join(some)} "
+            at, _ = _pairs(text)
+            np.add(sums, np.bincount(at, minlength=BUCKETS), out=sums)
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            for c, n in zip(*map(np.ndarray.tolist, np.unique(points[points > 127], return_counts=True)), strict=True):
+                chars[c] += n
+
+        held, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not text.isascii():
-                    at, _ = _pairs(f" {text} ")
-                    np.add.at(sums, at, 1)
-                    chars.update(re.sub(r"[\x00-\x7f]+", "", text))
+                held.append(text)
+                size += len(text)
+                if size > CHUNK:
+                    add(held)
+                    held, size = [], 0
+        add(held)
         some = np.flatnonzero(sums)
-        at = np.concatenate([some, -1 - np.array(sorted(map(ord, chars)), np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([sums[some], np.array([chars[chr(-1 - x)] for x in at[len(some) :]], np.int64)]))], names=["b", "n"])
+        points = np.array(sorted(chars), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, -1 - points])), pa.array(np.concatenate([sums[some], np.array([chars[c] for c in points.tolist()], np.int64)]))], names=["b", "n"])
 
     rows = texts.mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     b, n = rows["b"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)

@@ -58,6 +58,8 @@ _SPACES = re.compile(r"[^\S\r\n  \x0b\x0c\x85]+|\s+")
 _SAID_ZH = re.compile(r"[^。！？：“”\s]{0,12}(?:问道|说道|答道|写道|喊道|叫道|回答|说|问|喊)[。，！？]")
 _SAID_JA = re.compile(r"(?:と|って)")
 
+_ALNUM = re.compile(r"[^\W_]")
+FEW = 24  # candidates up to which plain loops are faster than arrays
 SURE = 4.0  # a balanced boundary of this score is taken whatever the spans around it are
 INSIDE = -7.0  # beginning or ending inside a quotation or bracket
 ODD = -3.0  # an odd number of straight quotation marks
@@ -216,16 +218,27 @@ def _spans(text: str, begin: int, at: list[int], local: list[float], inside: lis
         yield begin, at[0]
         return
     n = len(at)
-    marks = np.array([text.count('"', begin, e) if straight else 0 for e in at])
-    letters = np.cumsum([sum(map(str.isalnum, text[a:e])) for a, e in zip([begin, *at[:-1]], at, strict=True)])
-    before_marks, before_letters = np.concatenate([[0], marks]), np.concatenate([[0], letters])
-    best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, int)
-    best[0] = 0
+    marks, letters = [0], [0]  # straight marks and pieces with a letter or digit so far
+    for a, e in zip([begin, *at[:-1]], at, strict=True):
+        marks.append(marks[-1] + (text.count('"', a, e) if straight else 0))
+        letters.append(letters[-1] + (_ALNUM.search(text, a, e) is not None))
+    best, back = [0.0] + [0.0] * n, [0] * (n + 1)
+    many = n > FEW
+    if many:
+        best, before_marks, before_letters = np.zeros(n + 1), np.array(marks), np.array(letters)
     for j in range(1, n + 1):
-        own = (local[j - 1] if j < n else 0.0) + (INSIDE if inside[j - 1] and j < n else 0.0)
-        span = best[:j] + np.where((marks[j - 1] - before_marks[:j]) % 2 == 1, ODD, 0) + np.where(letters[j - 1] == before_letters[:j], EMPTY, 0)
-        i = int(np.argmax(span))
-        best[j], back[j] = span[i] + own, i
+        own = (local[j - 1] + (INSIDE if inside[j - 1] else 0.0)) if j < n else 0.0
+        if many:
+            span = best[:j] + np.where((marks[j] - before_marks[:j]) % 2 == 1, ODD, 0) + np.where(letters[j] == before_letters[:j], EMPTY, 0)
+            i = int(np.argmax(span))
+            value = span[i]
+        else:
+            i, value = 0, float("-inf")
+            for k in range(j):
+                v = best[k] + (ODD if (marks[j] - marks[k]) % 2 else 0.0) + (EMPTY if letters[j] == letters[k] else 0.0)
+                if v > value:
+                    i, value = k, v
+        best[j], back[j] = value + own, i
     cuts, j = [], n
     while j:
         cuts.append((begin if back[j] == 0 else at[back[j] - 1], at[j - 1]))
