@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,8 @@ def _known_pairs() -> dict[str, tuple[str, ...]]:
 KNOWN = _known_pairs()
 _UNITS = re.compile(r"[^\n\r]+")
 _CELLS = re.compile(r" \| | = ")
+_SHAPE = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
+_DIGIT = re.compile(r"[0-9]")
 _ISLAND = re.compile(r"(?:(?<![A-Za-z])[A-Za-z]+)?[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z]+|[\x21-\x40\x5b-\x60\x7b-\x7e ]{1,2}(?=[A-Za-z]{0,2}[^\x00-\x7f]))*")
 _LATIN = {chr(b): bytes([b]) for b in range(0x80, 0xA0)}
 
@@ -154,6 +157,15 @@ def _units(text: str) -> Iterator[tuple[int, int]]:
 _TWO = re.compile(r"[^\x00-\x7f]{2}")
 
 
+_MARK = re.compile(r"[^\x00-\x7f]")
+
+
+@lru_cache(10_000)
+def _readers(mark: str) -> tuple[str, ...]:
+    """The encodings that can have given the character."""
+    return tuple(r for r in KNOWN if _encode(mark, r) is not None)
+
+
 def _lettered(text: str, out: str) -> bool:
     """Whether the marks turn into letters, or letters into quotation marks."""
     marks = [c for c in out if not c.isascii()]
@@ -169,15 +181,17 @@ _ODD = re.compile(r"(?:(?![\x00-\x7f «»¿¡‐-‧])[\W_]|[A-Za-z][^\x00-\x7f
 def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ") -> tuple[str, str, str] | None:
     """read_as, written_in and the reading that gains most, if one gains enough."""
     own = model.score(text, before, after)
-    marks = sum(not c.isascii() for c in text)
+    marks = len(text) - len(text.encode("ascii", "ignore"))
+    if not marks:
+        return None
     likely = own >= LIKELY
     two = _TWO.search(text) is not None
     if likely and not two:
         return None
     odd = _ODD.search(text) is not None
     best, most = None, 0.0
-    for r, written in KNOWN.items():
-        single = r in SINGLE
+    for r in _readers(_MARK.search(text)[0]):
+        single, written = r in SINGLE, KNOWN[r]
         if likely and not single:
             continue
         data = _encode(text, r)
@@ -228,11 +242,15 @@ def repair_text(text: str, model: Model, learned: frozenset, cache: dict | None
     out, at, found = [], 0, "�" in text
     for a, b in _units(text):
         unit = text[a:b]
-        if unit not in cache:
+        # what is decided depends on the marks and their neighbours alone, and lines recur with other numbers and names
+        shape = ("", _DIGIT.sub("0", " ".join(_SHAPE.findall(unit))))
+        if shape in cache:
+            continue
+        fixed = _repair_unit(unit, model, learned, cache)
+        if fixed == unit:
             if len(cache) > 50_000:
                 cache.clear()
-            cache[unit] = _repair_unit(unit, model, learned, cache)
-        fixed = cache[unit]
+            cache[shape] = unit
         if fixed != unit:
             found = True
             out += [text[at:a], fixed]
