@@ -175,7 +175,7 @@ def _lettered(text: str, out: str) -> bool:
 
 
 #: A mark that is no letter, a letter of another script in a Latin word or alone, a quotation mark within a word, or a change of case within a word.
-_ODD = re.compile(r"(?:(?![\x00-\x7f «»¿¡‐-‧])[\W_]|[A-Za-z][^\x00-\x7f\u00c0-\u024f\u2018-\u201f]|(?![\x00-\x7f])[^\u00c0-\u024f\u2018-\u201f][A-Za-z]|[a-z][À-ÖØ-Þ]|[ß-öø-ÿ][A-Z]|[?!.,][ß-öø-ÿ]|[A-Za-z][‚„†-•]|[a-z][“”][a-z]|-…-|(?<![^\x00-\x7f])[Ͱ-ӿ](?![^\x00-\x7f]))")
+_ODD = re.compile(r"(?:(?![\x00-\x7f «»¿¡‐-‧])[\W_]|[A-Za-z][^\x00-\x7f\u00c0-\u024f\u2018-\u201f]|(?![\x00-\x7f])[^\u00c0-\u024f\u2018-\u201f][A-Za-z]|[a-z][À-ÖØ-Þ]|[ß-öø-ÿ][A-Z]|[?!.,][ß-öø-ÿ]|[A-Za-z][‚„†-•]|[a-z][“”][a-zß-ÿ]|-…-|(?<![^\x00-\x7f])[Ͱ-ӿ](?![^\x00-\x7f]))")
 
 
 def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ") -> tuple[str, str, str] | None:
