@@ -32,12 +32,12 @@ def header_date(value: Column) -> Column:
     v = F.trim(F.coalesce(value, F.lit("")))
     n = v.try_cast("bigint")
     s = F.when(F.length(v) == 13, F.floor(n / 1000)).otherwise(n)
-    at = F.timestamp_seconds(s)
+    at = F.timestamp_add("SECOND", s, F.lit("1970-01-01").cast("timestamp_ntz"))  # whatever the session's zone
     parts = F.split(v, r"\s+")
     pad = lambda i, w: F.lpad(F.get(parts, F.lit(i)), w, "0")
     iso = F.concat(pad(0, 4), F.lit("-"), pad(1, 2), F.lit("-"), pad(2, 2), F.lit(" "), pad(3, 2), F.lit(":"), pad(4, 2), F.lit(":"), pad(5, 2))
     epoch = v.rlike(r"^\d{1,18}$") & (s > 0) & (s < YEAR_2100_S)
-    return F.when(epoch, F.concat(F.date_format(F.to_utc_timestamp(F.from_utc_timestamp(at, "UTC"), "UTC"), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))).when(v.rlike(r"^\d{1,4}( +\d{1,2}){5}( |$)"), iso).otherwise(v)
+    return F.when(epoch, F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))).when(v.rlike(r"^\d{1,4}( +\d{1,2}){5}( |$)"), iso).otherwise(v)
 
 
 def normalise_hash(value: Column) -> Column:

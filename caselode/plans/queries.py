@@ -324,18 +324,12 @@ def audit_chain_heads(spark, d):
     return audit.chain(table(spark, d, "events"), "user_id", "event_id", ["user_id", "event_type", "props"])
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a log chained within each user, as stored by a writer, for verification."""
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
-    return e
-
-
 def event_gaps(spark, d):
     """Previous event of a user, by event id."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return _log(spark, d).select("event_id", "user_id", F.lag("event_id", 1, 0).over(w).alias("previous_id"), F.row_number().over(w).alias("place"))
+    return table(spark, d, "events").select("event_id", "user_id", F.lag("event_id", 1, 0).over(w).alias("previous_id"), F.row_number().over(w).alias("place"))
 
 
 def doc_ids(spark, d):

@@ -149,3 +149,11 @@ def test_search(spark):
     assert [r["id"] for r in search.name_search(paths, "path", "name", "POR").collect()] == [1]
     dup = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), (None, 3, "c")], "k string, o int, v string")
     assert sorted(r["v"] for r in search.keep_first(dup, ["k"], [F.col("o")]).collect()) == ["a", "c"]
+
+
+def test_header_date_ignores_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert one(spark, scalars.header_date, "1319391001") == "2011-10-23 17:30:01 UTC"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
