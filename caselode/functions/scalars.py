@@ -128,3 +128,11 @@ def _doc_id(s: pd.Series) -> pd.Series:
 def stable_doc_id(*parts: Column) -> Column:
     """Positive 64-bit id of the parts, the same in every run; NULL parts count as ''."""
     return _doc_id(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Seconds as h:mm:ss or m:ss; '' for none."""
+    s = F.floor(seconds).cast("bigint")
+    tail = F.format_string("%02d:%02d", F.floor(s / 60) % 60, s % 60)
+    short = F.format_string("%d:%02d", F.floor(s / 60), s % 60)
+    return F.when(s.isNull() | (s < 0), "").when(s >= 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), tail)).otherwise(short)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,17 @@ def spread(scan: DataFrame) -> DataFrame:
     """A scan whose rows go to all cores, for costly functions: only if it has fewer splits than there are cores is it shuffled."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+@contextmanager
+def job_group(spark: SparkSession, name: str, description: str = ""):
+    """Jobs begun inside can be cancelled together from another thread with ``cancel``."""
+    spark.sparkContext.setJobGroup(name, description or name, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    spark.sparkContext.cancelJobGroup(name)
