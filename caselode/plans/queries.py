@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caselode.functions import extract, patterns, scalars
 from caselode.operators import audit, findings, instants, known, provenance, rules, search, snapshots
 from caselode.plans.instants_sql import P1_FOUND
-from caselode.session import cut
+from caselode.session import cut, spread
 from caselode.sources import segments
 from caselode.sources.tables import table
 from caselode.streaming import ingest
@@ -51,7 +51,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _ioc(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return findings.indicator_findings(table(spark, d, "documents"), "text", "evidence_uuid", "doc_id", (kind,))
+        return findings.indicator_findings(spread(table(spark, d, "documents").select("doc_id", "evidence_uuid", "text")), "text", "evidence_uuid", "doc_id", (kind,))
 
     return run
 
@@ -67,7 +67,7 @@ def _values(kind: str):
 
 def ioc_all_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Hits and distinct values of all ten kinds in one pass over the texts."""
-    return patterns.indicators(table(spark, d, "documents"), "text", "doc_id").groupBy("kind").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("value").alias("distinct_values"))
+    return patterns.indicators(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id").groupBy("kind").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("value").alias("distinct_values"))
 
 
 def findings_summary(spark, d):
