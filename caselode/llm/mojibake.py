@@ -38,8 +38,6 @@ FEW = 4
 #: A character is usual if it makes up at least this share of the non-ASCII ones, but need not occur oftener than UNUSUAL times.
 USUAL_SHARE = 2e-6
 UNUSUAL = 2
-#: Mean log probability from which a unit is read back only as UTF-8.
-LIKELY = -7.5
 #: Twins that make a transformation learned.
 SUPPORT = 3
 #: ASCII letters that a unit's skeleton needs to serve as a key.
@@ -134,6 +132,8 @@ class Model:
         total = max(float(counts.sum()), 1.0)
         self.logp = np.full(BUCKETS, np.log(0.3 / (total + BUCKETS)), dtype=np.float32)
         self.logp[buckets] = np.log((counts + 0.3) / (total + BUCKETS))
+        #: No score is above this.
+        self.top = max(float(self.logp.max()), ASCII_SCORE)
 
     def score(self, text: str, before: str = " ", after: str = " ") -> float:
         """Mean log probability of the pairs with a non-ASCII character of a stretch between two characters."""
@@ -178,26 +178,34 @@ def _lettered(text: str, out: str) -> bool:
 _ODD = re.compile(r"(?:(?![\x00-\x7f «»¿¡‐-‧])[\W_]|[A-Za-z][^\x00-\x7f\u00c0-\u024f\u2018-\u201f]|(?![\x00-\x7f])[^\u00c0-\u024f\u2018-\u201f][A-Za-z]|[a-z][À-ÖØ-Þ]|[ß-öø-ÿ][A-Z]|[?!.,][ß-öø-ÿ]|[A-Za-z][‚„†-•]|[a-z][“”][a-zß-ÿ]|-…-|(?<![^\x00-\x7f])[Ͱ-ӿ](?![^\x00-\x7f]))")
 
 
+def _least_gain(r: str, w: str, marks: int, known: bool) -> float:
+    """A lower bound of the gain from which _best takes a reading, whatever the reading is."""
+    if w == "utf-8":
+        return -3.0 if r in SINGLE else 0.5 if r in WIDE else GAIN_OTHER
+    if marks < FEW - known:
+        return GAIN_LEARNED if known else GAIN_OTHER
+    return GAIN_LEARNED * min(1.0, 8 / marks) if known else max(0.9, GAIN_OTHER * 4 / marks)
+
+
 def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ") -> tuple[str, str, str] | None:
     """read_as, written_in and the reading that gains most, if one gains enough."""
     own = model.score(text, before, after)
     marks = len(text) - len(text.encode("ascii", "ignore"))
     if not marks:
         return None
-    likely = own >= LIKELY
+    room = model.top - own + 1e-4  # what a reading can gain at most
     two = _TWO.search(text) is not None
-    if likely and not two:
-        return None
     odd = _ODD.search(text) is not None
     best, most = None, 0.0
     for r in _readers(_MARK.search(text)[0]):
         single, written = r in SINGLE, KNOWN[r]
-        if likely and not single:
+        written = [w for w in written if _least_gain(r, w, marks, (r, w) in learned) <= room]
+        if not written:
             continue
         data = _encode(text, r)
         if data is None:
             continue
-        for w in written[:1] if likely else written:
+        for w in written:
             try:
                 out = data.decode(w)
             except UnicodeDecodeError:

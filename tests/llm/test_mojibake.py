@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from caselode.llm.mojibake import garbled_texts, read_back, utf8_lines
+from caselode.llm.mojibake import character_model, garbled_texts, read_back, repair_text, utf8_lines
 
 CLEAN = {
     "de": ["Die Überprüfung ergab {n} Treffer für die größte Akte.", "Größe und Schlüssel wurden gründlich geprüft, schöne Grüße aus dem Büro Nr. {n}."],
@@ -73,3 +73,14 @@ def test_read_back():
     assert read_back("GrÃ¶ÃŸe", "cp1252", "utf-8") == "Größe"
     assert read_back("Größe", "cp1252", "utf-8") is None
     assert utf8_lines("GrÃ¶ÃŸe\nGröße\nx") == "Größe\nGröße\nx"
+
+
+def test_frequent_garbling_is_read_back(spark):
+    rng = random.Random(5)
+    ru = [t.format(n=n) for n in range(300) for t in CLEAN["ru"]]
+    bad = [wrong(rng.choice(ru), "koi8-r", "cp1251") for _ in range(400)]
+    model = character_model(spark.createDataFrame([(t,) for t in ru + bad], "text string"))
+    good = CLEAN["ru"][0].format(n=12345)
+    text = wrong(good, "koi8-r", "cp1251")
+    assert model.score(text) > -7.5  # likely by itself
+    assert repair_text(text, model, frozenset({("cp1251", "koi8-r")})) == (good, True)
