@@ -170,6 +170,7 @@ def new_lines(mail: Mail, common: dict[str, str], ancestors: set[int]) -> list[i
     common: flattened common closings; ancestors: keys of paragraphs that earlier messages of the thread hold.
     """
     closings = "\n".join(common.values()).encode()[-PART:]
+    longest = 2 * max(map(len, common), default=0)
     sender = mail.sender.encode()
     embedded = "\n".join(mail.ancestors).encode("utf-8", "surrogatepass")[:PART]
     old_texts = [_flat(x.split("\n")) for x in mail.ancestors]
@@ -181,12 +182,26 @@ def new_lines(mail: Mail, common: dict[str, str], ancestors: set[int]) -> list[i
         earlier = flat.encode("utf-8", "surrogatepass")[:PART] if _key(flat) in ancestors else b""
         dictionary = embedded + b"\n" + earlier + b"\n" + closings + b"\n" + shapes + b"\n" + sender
         taken = set()
-        if compression_gain("\n".join(lines), dictionary) >= GAIN:
-            taken = _overlaps(lines, flat, mail.sender, common, len(flat) >= LONG_ANCESTOR and (bool(earlier) or any(flat in x for x in old_texts)))
+        ancestor = len(flat) >= LONG_ANCESTOR and (bool(earlier) or any(flat in x for x in old_texts))
+        # the dictionary holds parts only, so exact overlaps count whatever the gain is
+        if ancestor or flat in common or _common_tail(lines, common, longest) or compression_gain("\n".join(lines), dictionary) >= GAIN:
+            taken = _overlaps(lines, flat, mail.sender, common, ancestor)
         out += [a + k for k in range(b - a) if k not in taken]
     return out
 
 
+def _common_tail(lines: list[str], common: dict[str, str], longest: int) -> bool:
+    """Whether the last lines are a common closing."""
+    size = 0
+    for k in range(len(lines) - 1, -1, -1):
+        size += len(lines[k])
+        if size > longest:
+            return False
+        if _flat(lines[k:]) in common:
+            return True
+    return False
+
+
 def _overlaps(lines: list[str], flat: str, sender: str, common: dict[str, str], ancestor: bool) -> set[int]:
     """Positions of a suspect paragraph's lines that an exact overlap or a signature's shape confirms."""
     everything = set(range(len(lines)))
@@ -251,7 +266,8 @@ def newly_written(items: DataFrame, repair=None) -> DataFrame:
     support = max(COMMON_LEAST, COMMON_SHARE * n_mails)
     # at most (paragraphs of a mail) / COMMON_SHARE texts can reach the support
     frequent = seen.where("flat is not null").groupBy("flat").agg(F.approx_count_distinct("sender").alias("senders"), F.count(F.lit(1)).alias("n"))
-    common = {r["flat"]: r["flat"] for r in frequent.where((F.col("n") >= F.lit(support)) & (F.col("senders") >= COMMON_LEAST)).select("flat").collect()}
+    learned = frequent.where((F.col("n") >= F.lit(support)) & (F.col("senders") >= COMMON_LEAST)).select("flat").collect()
+    common = {flat: flat for flat in sorted(r["flat"] for r in learned)}
 
     first = seen.groupBy("thread", "par").agg(F.min(F.struct("seq", "whole")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = cut(

@@ -1,6 +1,8 @@
 """Newly written lines of hand-made mails."""
 
-from caselode.llm.newtext import LONG_ANCESTOR, compression_gain, newly_written, parse_mail
+import random
+
+from caselode.llm.newtext import LONG_ANCESTOR, compression_gain, new_lines, newly_written, parse_mail
 
 HEAD = "RE: plan\nAnn Berg\nplan\nFrom: Ann Berg <a@b.test>\n\n"
 LEGAL = "This footer belongs to every mail of the house and says nothing new to anybody."
@@ -62,3 +64,14 @@ def test_parts():
     assert parse_mail("a\nb\n\nc").own == [(3, 4)] and parse_mail("").own == []
     text = "a rather long paragraph that stands in the dictionary as well, word for word"
     assert compression_gain(text, text.encode()) > 0.7 > 0.1 > compression_gain(text, b"quite another thing altogether 123")
+
+
+def test_overlaps_beyond_the_dictionary():
+    rng = random.Random(1)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).strip()
+    kept = "Zwölf Kartons stehen jetzt im Keller."
+    common = {x: x for x in [LEGAL.upper(), *(noise(200) for _ in range(100))]}
+    body = mail(f"{kept}\n\n{LEGAL.upper()}\n\n{kept}\n{LEGAL.upper()}")
+    assert new_lines(parse_mail(body), common, set()) == [5, 9]
+    late = noise(30_000)
+    assert new_lines(parse_mail(mail(kept + "\n\n" + late[-400:].strip() + "\n\n> " + late)), {}, set()) == [5]
