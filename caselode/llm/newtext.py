@@ -3,8 +3,9 @@
 Structure first: quoted lines and the lines that introduce them, and everything from a forwarded or
 original message's header block on, are the mail's embedded thread ancestors. The paragraphs left
 are compressed with a preset dictionary made of the thread's ancestors (embedded ones and
-paragraphs of earlier messages of the same thread), the sender's closings (name and the lines
-around it) and the closings common to many senders (legal notices, device tags, roles), learned
+paragraphs of earlier messages of the same thread), the sender's name, the lines of the shape of a
+signature, the closings that recur at the end of the sender's own mails, digits alike (they are
+known to recur, so they are taken whatever the gain is) and the closings common to many senders (legal notices, device tags, roles), learned
 from all mails. A paragraph that gains abnormally much over compressing it alone is suspect; it is
 taken away only where an exact overlap confirms it: the very paragraph in an ancestor or among the
 common closings, or lines of the shape of a signature around the sender's name. Other paragraphs
@@ -28,6 +29,8 @@ from caselode.session import cut, spread
 #: A closing common to many senders occurs in at least this share of the mails, and at least so often.
 COMMON_SHARE = 0.002
 COMMON_LEAST = 3
+#: A sender's own closing ends at least so many different mails in as many threads.
+SENDER_LEAST = 3
 #: Shortest paragraph, in characters, that an overlap with a common closing or an ancestor can confirm.
 LONG = 40
 LONG_ANCESTOR = 80
@@ -164,10 +167,17 @@ def _same_name(line: str, sender: str) -> bool:
     return bool(sender) and line.strip().casefold() == sender.casefold()
 
 
-def new_lines(mail: Mail, common: dict[str, str], ancestors: set[int]) -> list[int]:
+def _closing(mail: Mail) -> str | None:
+    """The last own paragraph with digits alike, if others stand before it and it is long enough."""
+    flat = _flat(mail.lines[slice(*mail.own[-1])]) if len(mail.own) > 1 else ""
+    return re.sub(r"\d+", "0", flat) if mail.sender and len(flat) >= LONG else None
+
+
+def new_lines(mail: Mail, common: dict[str, str], ancestors: set[int], closing: bool = False) -> list[int]:
     """Numbers of the lines that the sender newly wrote.
 
-    common: flattened common closings; ancestors: keys of paragraphs that earlier messages of the thread hold.
+    common: flattened common closings; ancestors: keys of paragraphs that earlier messages of the thread hold;
+    closing: whether the last own paragraph is one of the sender's recurring closings.
     """
     closings = "\n".join(common.values()).encode()[-PART:]
     longest = 2 * max(map(len, common), default=0)
@@ -175,7 +185,7 @@ def new_lines(mail: Mail, common: dict[str, str], ancestors: set[int]) -> list[i
     embedded = "\n".join(mail.ancestors).encode("utf-8", "surrogatepass")[:PART]
     old_texts = [_flat(x.split("\n")) for x in mail.ancestors]
     out = []
-    for a, b in mail.own:
+    for a, b in mail.own[:-1] if closing else mail.own:
         lines = mail.lines[a:b]
         flat = _flat(lines)
         shapes = "\n".join(x for x in lines if _RULE.fullmatch(x) or _CONTACT.fullmatch(x) or _DEVICE.fullmatch(x) or _LEGAL.match(x)).encode("utf-8", "surrogatepass")
@@ -252,15 +262,17 @@ def newly_written(items: DataFrame, repair=None) -> DataFrame:
                 mail = read(text)
                 thread = _key(f"{box}\x1f{mail.topic}")
                 whole = _key(text)
+                closing = _closing(mail)
                 for a, b in mail.own:
                     flat = _flat(mail.lines[a:b])
                     if len(flat) >= LONG:
-                        out.append((item, thread, _key(flat), seq, whole, None if re.search(r"\d", flat) else flat, mail.sender))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
+                        last = _key(closing) if closing and (a, b) == mail.own[-1] else None
+                        out.append((item, thread, _key(flat), seq, whole, None if re.search(r"\d", flat) else flat, mail.sender, last))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
 
-    types = [pa.int64()] * 5 + [pa.string()] * 2
-    names = ["item_id", "thread", "par", "seq", "whole", "flat", "sender"]
-    seen = cut(rows.mapInArrow(paragraphs, "item_id bigint, thread bigint, par bigint, seq bigint, whole bigint, flat string, sender string"))
+    types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+    names = ["item_id", "thread", "par", "seq", "whole", "flat", "sender", "closing"]
+    seen = cut(rows.mapInArrow(paragraphs, "item_id bigint, thread bigint, par bigint, seq bigint, whole bigint, flat string, sender string, closing bigint"))
 
     n_mails = rows.count()
     support = max(COMMON_LEAST, COMMON_SHARE * n_mails)
@@ -279,13 +291,20 @@ def newly_written(items: DataFrame, repair=None) -> DataFrame:
     else:
         rows = rows.withColumn("ancestors", F.lit(None).cast("array<bigint>"))
 
+    last = seen.where("closing is not null").select("item_id", "thread", "whole", F.xxhash64(F.lower("sender")).alias("who"), "closing")
+    own = last.groupBy("who", "closing").agg(F.countDistinct("whole").alias("mails"), F.countDistinct("thread").alias("threads"))
+    own = own.where((F.col("mails") >= SENDER_LEAST) & (F.col("threads") >= SENDER_LEAST)).select("who", "closing")
+    closed = cut(last.join(own, ["who", "closing"]).select("item_id").distinct().withColumn("closing", F.lit(True)))
+    n_closed = closed.limit(MAX_BROADCAST + 1).count()
+    rows = rows.join(F.broadcast(closed) if n_closed <= MAX_BROADCAST else closed, "item_id", "left") if n_closed else rows.withColumn("closing", F.lit(False))
+
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers = [], []
-            for item, text, ancestors in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                for k in new_lines(read(text), common, set(ancestors or ())):
+            for item, text, ancestors, closing in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                for k in new_lines(read(text), common, set(ancestors or ()), bool(closing)):
                     ids.append(item)
                     numbers.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], names=["item_id", "line_no"])
 
-    return rows.select("item_id", "text", "ancestors").mapInArrow(lines, "item_id bigint, line_no bigint")
+    return rows.select("item_id", "text", "ancestors", "closing").mapInArrow(lines, "item_id bigint, line_no bigint")

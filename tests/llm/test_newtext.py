@@ -75,3 +75,15 @@ def test_overlaps_beyond_the_dictionary():
     assert new_lines(parse_mail(body), common, set()) == [5, 9]
     late = noise(30_000)
     assert new_lines(parse_mail(mail(kept + "\n\n" + late[-400:].strip() + "\n\n> " + late)), {}, set()) == [5]
+
+
+def test_sender_closings(spark):
+    notice = "Our counter on the quay opens at {n} in the morning and closes when the last box is locked."
+    note = "Box {n} went to the vault today, as agreed with the keeper."
+    text = lambda k, who, end: f"s{k}\n{who}\n\nNote on {k}.\n\n{end}"
+    rows = [(k, f"/c{k}", "Inbox/msg_0", text(k, "Ann Berg", notice.format(n=k)), "") for k in range(4)]
+    rows += [(10 + k, f"/d{k}", "Inbox/msg_0", text(10 + k, "Bo Kant", note.format(n=k)), "") for k in range(2)]
+    rows += [(20, "/e", "Inbox/msg_0", text(20, "Cy Dorn", notice.format(n=9)), "")]
+    got = run(spark, rows)
+    assert all(got[k] == [3] for k in range(4))  # recurs at the end of the sender's own mails
+    assert all(got[k] == [3, 5] for k in (10, 11, 20))  # too rare, or another sender's
