@@ -1,10 +1,15 @@
 """Sentence units on hand-made texts in many scripts."""
 
+import random
+from itertools import combinations
+
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from caselode.llm.sentences import sentence_spans, sentences
+from caselode.llm import sentences as module
+from caselode.llm.sentences import best_spans, build_evidence, count_evidence, sentence_spans, sentences
 
 CASES = [
     ["Dr. A. Kent left at 5:51 a.m. and noted it.", "No. 36 on the list matched.", "Really?!", "Wait... the log is 3.5 MB."],
@@ -74,3 +79,71 @@ def test_frame(spark):
     got = sentences(df).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {1: 4, 4: 2, None: 1, 6: 50_000}
     assert sentences(df.limit(0)).columns == ["doc_id", "start_pos", "end_pos"]
+
+
+#: Invented paragraphs: names, an abbreviation on no list, and sentences known by construction.
+def corpus(n, seed=3):
+    rng = random.Random(seed)
+    names, verbs, things = ["Arno", "Bela", "Cleo", "Dora", "Egon"], ["moved", "sealed", "copied"], ["the box", "a disk", "the old file", "two bags"]
+    sentence = lambda: rng.choice([
+        f"{rng.choice(names)} {rng.choice(verbs)} {rng.choice(things)}.",
+        f"Then Hptm. {rng.choice(names)} {rng.choice(verbs)} {rng.choice(things)}.",
+        f"Hptm. {rng.choice(names)} met Hptm. {rng.choice(names)} near {rng.choice(things)}.",
+        f"It weighs {rng.randint(2, 9)} Zent. {rng.randint(2, 9)} or less.",
+        f"They {rng.choice(verbs)} {rng.choice(things)} for {rng.choice(names)}.",
+    ])
+    return [[sentence() for _ in range(rng.randint(1, 5))] for _ in range(n)]
+
+
+def evidence_of(paragraphs):
+    return build_evidence(np.array([(*k, n) for k, n in count_evidence([" ".join(p) for p in paragraphs]).items()]))
+
+
+def right(paragraphs, evidence=module._LISTS):
+    found = [[t[a:b] for a, b in sentence_spans(t, evidence=evidence)] for t in map(" ".join, paragraphs)]
+    return sum(a == b for a, b in zip(found, paragraphs, strict=True)) / len(paragraphs)
+
+
+def test_abbreviations_are_learned():
+    evidence = evidence_of(corpus(600))
+    assert right(corpus(200, 4), evidence) > 0.98  # other paragraphs
+    assert right(corpus(200, 4)) < 0.4
+
+
+def test_whole_spans_decide(monkeypatch):
+    """Cutting at every boundary of positive score, without the program, is worse where little was counted."""
+    evidence = evidence_of(corpus(20))
+    whole = right(corpus(300, 4), evidence)
+
+    def local(text, begin, at, own, cost):
+        for k, e in enumerate(at):
+            if own[k] >= 0 or k == len(at) - 1:
+                yield begin, e
+                begin = e
+
+    monkeypatch.setattr(module, "best_spans", local)
+    assert whole > right(corpus(300, 4), evidence)
+
+
+@given(st.lists(st.tuples(st.integers(1, 30), st.floats(-6, 6)), min_size=1, max_size=9), st.integers(0, 1))
+def test_program_is_best(pieces, marks):
+    text, at, own = "", [], []
+    for n, s in pieces:
+        text += ('"' if marks and n % 3 == 0 else "") + "a" * n
+        at.append(len(text))
+        own.append(s)
+    own[-1] = 0.0
+    cost = [min(0.0, -3 + 0.5 * i) for i in range(module.SLOTS)]
+
+    def score(cuts):
+        begin, out = 0, 0.0
+        for k in cuts:
+            piece = text[begin : at[k]]
+            out += cost[module._slot(len(piece))] + own[k] + (module.ODD if piece.count('"') % 2 else 0)
+            begin = at[k]
+        return out
+
+    n = len(at)
+    best = max(score([*c, n - 1]) for r in range(n) for c in combinations(range(n - 1), r))
+    got = [at.index(b) for _, b in best_spans(text, 0, at, own, cost)]
+    assert score(got) == pytest.approx(best)
