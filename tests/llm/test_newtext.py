@@ -2,7 +2,8 @@
 
 import random
 
-from caselode.llm.newtext import LONG_ANCESTOR, compression_gain, new_lines, newly_written, parse_mail
+from caselode.llm import newtext
+from caselode.llm.newtext import LONG_ANCESTOR, Closings, compression_gain, new_lines, newly_written, parse_mail
 
 HEAD = "RE: plan\nAnn Berg\nplan\nFrom: Ann Berg <a@b.test>\n\n"
 LEGAL = "This footer belongs to every mail of the house and says nothing new to anybody."
@@ -34,16 +35,40 @@ def run(spark, rows):
     return {k: sorted(v) for k, v in out.items()}
 
 
+def others(n=48):
+    """Mails of other senders, from which signatures, device tags and the house's footer are learned."""
+    rng, rows = random.Random(5), []
+    for k in range(n):
+        who = f"{rng.choice(['Cy', 'Di', 'Ed', 'Flo', 'Gus'])} {rng.choice(['Dorn', 'Ems', 'Falk'])}{k % 7}"
+        text = f"s{k}\n{who}\n\nHi all,\n\nNote {k} of {rng.choice(['the vault', 'a box', 'our list'])} is {rng.choice(['here', 'gone', 'late'])} {rng.choice(['now', 'again', 'still'])} as {who[:2]} said.\n\nThanks, {who.split()[0]}\n"
+        text += f"\n{who}\n{'Clerk, House Ltd.' if k % 4 else 'Clerk'}\nT +999 {k} {k * 7}\n" if k % 2 else "\nSent from my handset\n"
+        rows.append((1000 + k, f"/o{k}.pst", "Inbox/msg_0", text + (f"\n-----\n{LEGAL}\n" if k % 3 == 0 else ""), ""))
+    return rows
+
+
 def test_mails(spark):
-    rows = [(i, f"/c{i}.pst", f"Inbox/msg_{i}", t, "clash") for i, (t, _) in MAILS.items()]
-    # the house's footer is learned from other senders
-    rows += [(100 + k, f"/d{k}.pst", "Inbox/msg_0", f"s{k}\nSender {k}x\n\nNote {k}.\n\n{LEGAL}", "") for k in range(8)]
+    rows = others() + [(i, f"/c{i}.pst", f"Inbox/msg_{i}", t, "clash") for i, (t, _) in MAILS.items()]
     rows += [(200, "/e", "table:t", "x\n\ny", ""), (201, "/e", "Inbox/msg_1", None, ""), (202, None, "Inbox/msg_1", mail("No container."), ""), (203, "/e", "Inbox/msg_1", "", "")]
     got = run(spark, rows)
     for i, (text, want) in MAILS.items():
         lines = text.split("\n")
         assert [lines[k].rstrip("\r") for k in got.get(i, [])] == want, i
-    assert all(len(got[100 + k]) == 1 for k in range(8)) and set(got) - set(MAILS) - set(range(100, 108)) == {202}
+    assert all(got[r[0]] == [3, 5, 7] for r in others()) and set(got) - set(MAILS) - {r[0] for r in others()} == {202}
+
+
+def learned():
+    entries = ["Clerk", "House Ltd.", "T +0 0 0", LEGAL, "Sent from my handset"]
+    return Closings(entries)
+
+
+def test_compression_decides():
+    """A line with a piece of a closing in it is taken without the gain, and kept with it."""
+    text = "Then the lorry left. Please do not forget the other nine keys\nT +999 123 4567 is the number on the old blue crate, Clerk, House Ltd."
+    parsed = parse_mail(mail("Begin.\n\n" + text + "\n\nAnn Berg\nClerk, House Ltd."))
+    assert new_lines(parsed, learned(), set()) == [5, 7, 8]
+    assert new_lines(parsed, Closings([]), set()) != [5, 7, 8]  # nothing learned: the signature stays
+    lorry = parse_mail(mail("Begin.\n\nThen the lorry left the yard at noon with all of the boxes but one\nClerk"))
+    assert new_lines(lorry, learned(), set(), gain=0.5) == [5, 7, 8] and new_lines(lorry, learned(), set(), gain=-99) == [5, 7]
 
 
 def test_thread_ancestors(spark):
@@ -63,18 +88,32 @@ def test_empty(spark):
 def test_parts():
     assert parse_mail("a\nb\n\nc").own == [(3, 4)] and parse_mail("").own == []
     text = "a rather long paragraph that stands in the dictionary as well, word for word"
-    assert compression_gain(text, text.encode()) > 0.7 > 0.1 > compression_gain(text, b"quite another thing altogether 123")
+    assert compression_gain(text, text) > 0.7 > 0.1 > compression_gain(text, "quite another thing altogether 123")
 
 
-def test_overlaps_beyond_the_dictionary():
+def test_large_dictionaries():
+    """Neither the number of closings nor the length of a quoted history cuts a dictionary."""
     rng = random.Random(1)
     noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).strip()
     kept = "Zwölf Kartons stehen jetzt im Keller."
-    common = {x: x for x in [LEGAL.upper(), *(noise(200) for _ in range(100))]}
+    closings = Closings([LEGAL.upper(), *(noise(200) for _ in range(2000))])
     body = mail(f"{kept}\n\n{LEGAL.upper()}\n\n{kept}\n{LEGAL.upper()}")
-    assert new_lines(parse_mail(body), common, set()) == [5, 9]
-    late = noise(30_000)
-    assert new_lines(parse_mail(mail(kept + "\n\n" + late[-400:].strip() + "\n\n> " + late)), {}, set()) == [5]
+    assert new_lines(parse_mail(body), closings, set()) == [5, 9]
+    for size in (30_000, 300_000):
+        late = noise(size)
+        for part in (late[:400], late[-400:]):
+            assert new_lines(parse_mail(mail(kept + "\n\n" + part.strip() + "\n\n> " + late)), Closings([]), set()) == [5]
+
+
+def test_wrapped_closing_is_covered():
+    words = LEGAL.split()
+    wrapped = " ".join(words[:8]) + "\n" + " ".join(words[8:])
+    assert new_lines(parse_mail(mail("New.\n\n" + wrapped)), learned(), set()) == [5]
+
+
+def test_phrases_are_no_closings():
+    assert newtext.closes(40, 0, 0, 5, 1000) and not newtext.closes(40, 0, 0, 5000, 1000)
+    assert newtext.closes(0, 40, 0, 50, 1000) and not newtext.closes(0, 40, 9, 50, 1000) and not newtext.closes(0, 40, 0, 500, 1000)
 
 
 def test_sender_closings(spark):
