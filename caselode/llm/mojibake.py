@@ -2,18 +2,21 @@
 
 1. A character model is counted over all texts: pairs of neighbouring characters, hashed to a fixed
    number of buckets. Clean text far outweighs garbled text, so garbled stretches score low.
-2. Garbled units (lines or cells) are joined with clean near-twins: units with the same text once
-   every non-ASCII character is stripped. In each group the best-scoring unit stands as the clean
-   twin; aligning the characters between the shared ASCII ones gives the garbled form of each
-   clean run, and the pair of encodings (written in, read as) that turns one into the other is
-   inferred. Pairs of encodings that enough twins support are the learned transformations.
-3. Every unit is then read back through the learned transformations, and through the other known
-   pairs under a stricter limit. A unit is garbled where reading it back raises its score enough.
+2. Sentences are joined with clean near-twins: those with the same text once every non-ASCII
+   character is stripped and digits are alike, and as many bytes in each gap. Of those that share a
+   key the best-scoring one stands as the clean twin; aligning the characters between the shared ASCII
+   ones gives the garbled form of each clean run, and the pairs of encodings (read as, written in)
+   that turn one into the other are inferred. The fewest pairs that explain all twins but those that
+   hardly ever occur are the learned transformations.
+3. Every unit (line or cell) is read back through the learned transformations. A unit is garbled where
+   reading it back raises its score enough. What the model flags as unlikely all the same is tried
+   with the other known pairs under a stricter limit.
    Replacement characters mark stretches beyond recovery.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +43,10 @@ USUAL_SHARE = 2e-6
 UNUSUAL = 2
 #: Twins that make a transformation learned.
 SUPPORT = 3
-#: ASCII letters that a unit's skeleton needs to serve as a key.
-SKELETON = 8
+#: Different non-ASCII characters that a pair of twins needs to tell encodings apart.
+DIFFERENT = 2
+#: Mean log probability below which a unit is flagged for pairs of encodings that no twins show.
+FLAGGED = -7.5
 #: Mean log probability that reading back to plain ASCII counts as.
 ASCII_SCORE = -7.0
 
@@ -70,8 +75,10 @@ def _known_pairs() -> dict[str, tuple[str, ...]]:
 KNOWN = _known_pairs()
 _UNITS = re.compile(r"[^\n\r]+")
 _CELLS = re.compile(r" \| | = ")
-_SHAPE = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
+_SENTENCES = re.compile(r"(?<=[.!?])[ \t]+")
+_RUN = re.compile(r"[^\x00-\x7f]+")
 _ISLAND = re.compile(r"(?:(?<![A-Za-z])[A-Za-z]+)?[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z]+|[\x21-\x40\x5b-\x60\x7b-\x7e ]{1,2}(?=[A-Za-z]{0,2}[^\x00-\x7f]))*")
 _LATIN = {chr(b): bytes([b]) for b in range(0x80, 0xA0)}
 
@@ -187,19 +194,20 @@ def _least_gain(r: str, w: str, marks: int, known: bool) -> float:
     return GAIN_LEARNED * min(1.0, 8 / marks) if known else max(0.9, GAIN_OTHER * 4 / marks)
 
 
-def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ") -> tuple[str, str, str] | None:
+def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ", others: bool = True) -> tuple[str, str, str] | None:
     """read_as, written_in and the reading that gains most, if one gains enough."""
     own = model.score(text, before, after)
     marks = len(text) - len(text.encode("ascii", "ignore"))
     if not marks:
         return None
     room = model.top - own + 1e-4  # what a reading can gain at most
+    flagged = others and own < FLAGGED
     two = _TWO.search(text) is not None
     odd = _ODD.search(text) is not None
     best, most = None, 0.0
     for r in _readers(_MARK.search(text)[0]):
         single, written = r in SINGLE, KNOWN[r]
-        written = [w for w in written if _least_gain(r, w, marks, (r, w) in learned) <= room]
+        written = [w for w in written if ((r, w) in learned or flagged) and _least_gain(r, w, marks, (r, w) in learned) <= room]
         if not written:
             continue
         data = _encode(text, r)
@@ -232,7 +240,7 @@ def _best(text: str, model: Model, learned: frozenset, before: str = " ", after:
             elif marks < FEW - known:
                 if single and w in WIDE and two and 2 * sum(not c.isascii() for c in out) == marks:
                     least = GAIN_FEW
-                elif single and (known or r in WESTERN and w in WESTERN) and odd and _lettered(text, out):
+                elif single and w in WESTERN and (known or r in WESTERN) and odd and _lettered(text, out):
                     least = GAIN_LEARNED if known else GAIN_OTHER
                 else:
                     continue
@@ -244,40 +252,40 @@ def _best(text: str, model: Model, learned: frozenset, before: str = " ", after:
     return best
 
 
-def repair_text(text: str, model: Model, learned: frozenset, cache: dict | None = None) -> tuple[str, bool]:
-    """The text with its garbled stretches read back where possible, and whether it had any."""
+def repair_text(text: str, model: Model, learned: frozenset, cache: dict | None = None, others: bool = True) -> tuple[str, bool]:
+    """The text with its garbled stretches read back where possible, and whether it had any. others: whether flagged units are tried with pairs not learned."""
     cache = {} if cache is None else cache
-    out, at, found = [], 0, "�" in text
+    out, at, found = [], 0, "\ufffd" in text
     for a, b in _units(text):
         unit = text[a:b]
-        # what is decided depends on the marks and their neighbours alone, and lines recur with other numbers and names
-        shape = ("", _DIGIT.sub("0", " ".join(_SHAPE.findall(unit))))
-        if shape in cache:
+        # digits are alike to the model and in no encoding part of another character, so such a unit was decided before
+        same = ("", _DIGIT.sub("0", unit))
+        if same in cache:
             continue
-        fixed = _repair_unit(unit, model, learned, cache)
+        fixed = _repair_unit(unit, model, learned, cache, others)
+        if len(cache) > 50_000:
+            cache.clear()
         if fixed == unit:
-            if len(cache) > 50_000:
-                cache.clear()
-            cache[shape] = unit
-        if fixed != unit:
+            cache[same] = unit
+        else:
             found = True
             out += [text[at:a], fixed]
             at = b
     return "".join([*out, text[at:]]), found
 
 
-def _repair_island(text: str, model: Model, learned: frozenset, before: str, after: str) -> str:
+def _repair_island(text: str, model: Model, learned: frozenset, before: str, after: str, others: bool) -> str:
     for _ in range(3):
-        best = _best(text, model, learned, before, after)
+        best = _best(text, model, learned, before, after, others)
         if best is None:
             break
         text = best[2]
     return text
 
 
-def _repair_unit(unit: str, model: Model, learned: frozenset, cache: dict) -> str:
+def _repair_unit(unit: str, model: Model, learned: frozenset, cache: dict, others: bool) -> str:
     for _ in range(3):  # text can be garbled twice
-        best = _best(unit, model, learned)
+        best = _best(unit, model, learned, others=others)
         if best is None:
             break
         unit = best[2]
@@ -290,7 +298,7 @@ def _repair_unit(unit: str, model: Model, learned: frozenset, cache: dict) -> st
             continue
         key = (unit[m.start() - 1] if m.start() else " ", m[0], unit[m.end()] if m.end() < len(unit) else " ")  # words recur
         if key not in cache:
-            cache[key] = _repair_island(m[0], model, learned, key[0], key[2])
+            cache[key] = _repair_island(m[0], model, learned, key[0], key[2], others)
         text = cache[key]
         if text != m[0]:
             out += [unit[at : m.start()], text]
@@ -298,6 +306,20 @@ def _repair_unit(unit: str, model: Model, learned: frozenset, cache: dict) -> st
     return "".join([*out, unit[at:]])
 
 
+def twin_keys(sentence: str) -> tuple[int, int]:
+    """Keys of a sentence as it stands in a legacy encoding and in UTF-8: its text stripped of non-ASCII characters, digits alike, with the bytes of each gap."""
+    bare = _DIGITS.sub("0", sentence)
+    runs = _RUN.findall(bare)
+    legacy = _RUN.sub(lambda m: f"\x00{sum(2 if _wide(c) else 1 for c in m[0])}\x00", bare)
+    utf8 = _RUN.sub(lambda m: f"\x00{len(m[0].encode('utf-8', 'surrogatepass'))}\x00", bare) if runs else bare
+    return tuple(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in (legacy, utf8))
+
+
+def _wide(c: str) -> bool:
+    """Whether the character takes two bytes in the encodings that have it."""
+    return "\u2e80" <= c <= "\ud7ff" or "\uf900" <= c <= "\ufaff" or "\uff00" <= c <= "\uff60" or c in "、。「」"
+
+
 def _align(garbled: str, clean: str) -> Iterator[tuple[str, str]]:
     """Runs (garbled, clean) between the ASCII characters that both share."""
     split = lambda t: re.split(r"([\x00-\x7f])", t)
@@ -352,43 +374,82 @@ def build_model(b: np.ndarray, n: np.ndarray) -> Model:
 
 
 def learn_transformations(texts: DataFrame, model: Model, support: int = SUPPORT) -> frozenset:
-    """(read_as, written_in) pairs that at least ``support`` twins show; at most all pairs of encodings reach the driver."""
+    """(read_as, written_in) pairs that explain the twins, see ``fewest_pairs``; only sets of pairs and how often they occur reach the driver."""
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {}
+            out, seen = [], set()
             for text in batch.column(0).to_pylist():
                 for a, b in _units(text):
-                    unit = text[a:b]
-                    skeleton = re.sub(r"[^\x00-\x7f]", "", unit)
-                    if unit not in out and "�" not in unit and sum(map(str.isalpha, skeleton)) >= SKELETON:
-                        out[unit] = (skeleton, unit, model.score(unit))
-            yield _arrow(["skeleton", "unit", "score"], [pa.string(), pa.string(), pa.float64()], list(out.values()))
-
-    seen = cut(texts.mapInArrow(units, "skeleton string, unit string, score double").distinct())
-    # one clean twin for each skeleton: linear however many units share it
-    twin = seen.groupBy("skeleton").agg(F.max(F.struct("score", "unit")).alias("twin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("skeleton", "twin")
-    pairs = seen.join(twin, "skeleton").where(F.col("score") < F.col("twin.score") - GAIN_LEARNED / 2).select("unit", F.col("twin.unit").alias("clean"))
+                    for x in _SENTENCES.split(text[a:b]):
+                        if x.isascii() or "\ufffd" in x or x in seen:
+                            continue
+                        seen.add(x)
+                        if len(set(x) - _ASCII) >= DIFFERENT and _BARE.search(x):
+                            legacy, utf8 = twin_keys(x)
+                            score = model.score(x)
+                            out.append((legacy, x, score))
+                            if utf8 != legacy:  # as the clean twin of one read from UTF-8
+                                out.append((utf8, x, score))
+            yield _arrow(["key", "sentence", "score"], [pa.int64(), pa.string(), pa.float64()], out)
+
+    seen = cut(texts.mapInArrow(sentences, "key bigint, sentence string, score double").distinct())
+    # one clean twin for each key: linear however many sentences share it
+    twin = seen.groupBy("key").agg(F.max(F.struct("score", "sentence")).alias("twin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "twin")
+    pairs = seen.join(twin, "key").where(F.col("score") < F.col("twin.score") - GAIN_LEARNED / 2).select("sentence", F.col("twin.sentence").alias("clean"))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for garbled, clean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                runs = list(_align(garbled, clean))
-                if runs:
-                    out += [(r, w, 1) for r, written in KNOWN.items() for w in written if all(read_back(x, r, w) == y for x, y in runs)]
-            yield _arrow(["r", "w", "n"], [pa.string(), pa.string(), pa.int64()], out)
+                if names := explaining(garbled, clean):
+                    out.append((" ".join(f"{r}>{w}" for r, w in names), 1))
+            yield _arrow(["pairs", "n"], [pa.string(), pa.int64()], out)
+
+    found = pairs.mapInArrow(infer, "pairs string, n bigint").groupBy("pairs").agg(F.sum("n").alias("n")).where("n > 1").collect()
+    return fewest_pairs({tuple(tuple(x.split(">")) for x in r["pairs"].split(" ")): r["n"] for r in found}, support)
+
+
+_ASCII = frozenset(map(chr, range(128)))
+_BARE = re.compile(r"[A-Za-z0-9]")
+
+
+def explaining(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """The pairs of encodings that turn every run of the clean text into that of the garbled one; digits may differ."""
+    runs = list(_align(_DIGITS.sub("0", garbled), _DIGITS.sub("0", clean)))
+    if not runs or sum(len(set(x)) for x, _ in runs) < DIFFERENT:
+        return []
+    runs.sort(key=lambda r: -len(r[0]))
+    return [(r, w) for r, written in KNOWN.items() for w in written if all(read_back(x, r, w) == y for x, y in runs)]
+
+
+def fewest_pairs(sets: dict[tuple, int], support: int) -> frozenset:
+    """Pairs, taken one after the other by how many twins they explain that no earlier one does, until that is less than ``support``."""
+    left, out = dict(sets), set()
+    while left:
+        votes: Counter = Counter()
+        for pairs, n in left.items():
+            for p in pairs:
+                votes[p] += n
+        best, n = max(votes.items(), key=lambda kv: (kv[1], [-_ORDER[x] for x in kv[0]]))
+        if n < support:
+            break
+        out.add(best)
+        left = {pairs: n for pairs, n in left.items() if best not in pairs}
+    return frozenset(out)
+
 
-    found = pairs.mapInArrow(infer, "r string, w string, n bigint").groupBy("r", "w").agg(F.sum("n").alias("n"))
-    return frozenset((x["r"], x["w"]) for x in found.where(F.col("n") >= support).collect())
+#: Of pairs that explain the same twins the one with the commoner encodings counts.
+_ORDER = {c: i for i, c in enumerate(("utf-8", "cp1252", "cp1251", "cp437", "koi8-r", "cp866", "mac_roman", "gbk", "cp932", "euc_jp", "cp949", "big5", *KNOWN, *OTHER))}
 
 
-def garbled_texts(df: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def garbled_texts(df: DataFrame, id_col: str = "item_id", text_col: str = "text", others: bool = True) -> DataFrame:
     """``id_col``, repaired, recovered of the rows whose text holds a stretch decoded with a wrong encoding.
 
     repaired: the text with the stretches read back that can be; recovered: whether none is left
     over. NULL, empty and all-ASCII texts are never garbled; repeated rows come out each. Texts of
-    any length are read whole. Other columns are ignored.
+    any length are read whole. Other columns are ignored. others: whether units that the model flags
+    are tried with pairs of encodings that no twins show.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
     rows = spread(rows)
@@ -401,7 +462,7 @@ def garbled_texts(df: DataFrame, id_col: str = "item_id", text_col: str = "text"
         for batch in batches:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fixed, found = repair_text(text, model, learned, cache)
+                fixed, found = repair_text(text, model, learned, cache, others)
                 if found:
                     out.append((i, fixed, "�" not in fixed))
             yield _arrow(["id", "repaired", "recovered"], [pa.int64(), pa.string(), pa.bool_()], out)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from caselode.llm.mojibake import character_model, garbled_texts, read_back, repair_text, utf8_lines
+from caselode.llm.mojibake import character_model, explaining, fewest_pairs, garbled_texts, learn_transformations, read_back, repair_text, twin_keys, utf8_lines
 
 CLEAN = {
     "de": ["Die Überprüfung ergab {n} Treffer für die größte Akte.", "Größe und Schlüssel wurden gründlich geprüft, schöne Grüße aus dem Büro Nr. {n}."],
@@ -49,22 +49,41 @@ def result(spark):
     truth |= {6000: twice, 6001: "Das d�rfte gen�gen!", 6002: "The clerk left."}
     rows += [(7000, None, ""), (7001, "", ""), (7002, "ascii " * 50_000, ""), (None, "Grüße", "")]
     df = spark.createDataFrame(rows, "item_id bigint, text string, repaired string")
-    return {r["item_id"]: r for r in garbled_texts(df).collect()}, truth
+    return {r["item_id"]: r for r in garbled_texts(df).collect()}, truth, df
 
 
 def test_found(result):
-    got, truth = result
+    got, truth, _ = result
     assert len(set(got) & set(truth)) >= 0.97 * len(truth)
     assert set(got) <= set(truth)
 
 
 def test_repaired(result):
-    got, truth = result
+    got, truth, _ = result
     right = [got[i]["repaired"] == t for i, t in truth.items() if i in got]
     assert sum(right) >= 0.97 * len(right)
     assert not got[6001]["recovered"] and got[6000]["recovered"]
 
 
+def test_learned_transformations_find_most(result):
+    _, truth, df = result
+    got = {r["item_id"]: r["repaired"] for r in garbled_texts(df, others=False).collect()}
+    # swapped bytes leave no ASCII character to join on, so no twin can show them
+    assert sum(got.get(i) == t for i, t in truth.items()) >= 0.9 * len(truth)
+    texts = df.select("text").where("text is not null")
+    learned = learn_transformations(texts, character_model(texts))
+    assert {("cp1252", "utf-8"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1252", "gbk")} <= learned and len(learned) <= 14
+
+
+def test_twins():
+    clean, garbled = "Größe {} geprüft.", wrong("Größe {} geprüft.", "utf-8", "cp1252")
+    assert twin_keys(garbled.format(17))[0] == twin_keys(clean.format(3))[1] != twin_keys(clean.format(3))[0]
+    assert ("cp1252", "utf-8") in explaining(garbled.format(17), clean.format(3))
+    assert explaining(clean.format(1), clean.format(2)) == [] == explaining("a ö b", "a ü b")
+    a, b, c = ("cp1252", "utf-8"), ("iso8859-15", "utf-8"), ("cp1251", "koi8-r")
+    assert fewest_pairs({(a, b): 9, (a,): 1, (c,): 2}, 3) == {a} and fewest_pairs({}, 3) == frozenset()
+
+
 def test_empty(spark):
     assert garbled_texts(spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
@@ -84,3 +103,4 @@ def test_frequent_garbling_is_read_back(spark):
     text = wrong(good, "koi8-r", "cp1251")
     assert model.score(text) > -7.5  # likely by itself
     assert repair_text(text, model, frozenset({("cp1251", "koi8-r")})) == (good, True)
+    assert repair_text(text, model, frozenset()) == (text, False)  # only what is learned finds it
