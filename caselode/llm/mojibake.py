@@ -131,6 +131,26 @@ def _pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(46)).astype(np.int64), keep
 
 
+_PAIR = re.compile(r"(?=([^\x00-\x7f].|.[^\x00-\x7f]))", re.S)
+_64 = (1 << 64) - 1
+
+
+class _PairScores(dict):
+    """Log probability of a pair of characters, worked out once; the same buckets as ``_pairs``."""
+
+    def __init__(self, logp: np.ndarray):
+        self.logp = logp
+
+    def __missing__(self, pair: str) -> float:
+        x, y = (48 if 48 <= c <= 57 else c for c in map(ord, pair))  # digits are alike
+        h = (x * 0x9E3779B97F4A7C15 & _64) ^ (y * 0xC2B2AE3D27D4EB4F & _64)
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _64
+        if len(self) > 200_000:
+            self.clear()
+        self[pair] = value = float(self.logp[h >> 46])
+        return value
+
+
 class Model:
     """Log probabilities of hashed character pairs, and the non-ASCII characters that occur at all often."""
 
@@ -139,13 +159,14 @@ class Model:
         total = max(float(counts.sum()), 1.0)
         self.logp = np.full(BUCKETS, np.log(0.3 / (total + BUCKETS)), dtype=np.float32)
         self.logp[buckets] = np.log((counts + 0.3) / (total + BUCKETS))
+        self.pairs = _PairScores(self.logp)
         #: No score is above this.
         self.top = max(float(self.logp.max()), ASCII_SCORE)
 
     def score(self, text: str, before: str = " ", after: str = " ") -> float:
         """Mean log probability of the pairs with a non-ASCII character of a stretch between two characters."""
-        at, _ = _pairs(before + text + after)
-        return float(self.logp[at].mean()) if len(at) else ASCII_SCORE
+        pairs = _PAIR.findall(f"{before}{text}{after}")
+        return sum(map(self.pairs.__getitem__, pairs)) / len(pairs) if pairs else ASCII_SCORE
 
 
 def _units(text: str) -> Iterator[tuple[int, int]]:
@@ -194,6 +215,13 @@ def _least_gain(r: str, w: str, marks: int, known: bool) -> float:
     return GAIN_LEARNED * min(1.0, 8 / marks) if known else max(0.9, GAIN_OTHER * 4 / marks)
 
 
+@lru_cache(8)
+def _plan(learned: frozenset, flagged: bool) -> dict[str, list[tuple[str, bool]]]:
+    """read as -> (written in, whether learned) of the pairs to try."""
+    out = {r: [(w, (r, w) in learned) for w in written if flagged or (r, w) in learned] for r, written in KNOWN.items()}
+    return {r: written for r, written in out.items() if written}
+
+
 def _best(text: str, model: Model, learned: frozenset, before: str = " ", after: str = " ", others: bool = True) -> tuple[str, str, str] | None:
     """read_as, written_in and the reading that gains most, if one gains enough."""
     own = model.score(text, before, after)
@@ -205,9 +233,10 @@ def _best(text: str, model: Model, learned: frozenset, before: str = " ", after:
     two = _TWO.search(text) is not None
     odd = _ODD.search(text) is not None
     best, most = None, 0.0
+    plan = _plan(learned, flagged)
     for r in _readers(_MARK.search(text)[0]):
-        single, written = r in SINGLE, KNOWN[r]
-        written = [w for w in written if ((r, w) in learned or flagged) and _least_gain(r, w, marks, (r, w) in learned) <= room]
+        single, written = r in SINGLE, plan.get(r)
+        written = written and [w for w, known in written if _least_gain(r, w, marks, known) <= room]
         if not written:
             continue
         data = _encode(text, r)
