@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import hashlib
 import io
 import re
 import zipfile
@@ -11,15 +12,25 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longest text kept, sample for telling text from binary.
 MOST_CHARS = 1_000_000
 SAMPLE = 8192
 SCHEMA = "path string, extractor string, text string, char_count bigint, truncated boolean, error string"
-_TEXT = ("txt", "log", "csv", "tsv", "json", "xml", "md", "ini", "cfg", "conf", "yaml", "yml", "py", "js", "sql", "bat", "ps1", "sh")
+#: Extensions by extractor.
+TEXT = frozenset(
+    "txt log csv tsv ini cfg conf md rst json yaml yml xml sql sh bat ps1 ps py js ts java c cc cpp h hpp cs go rb php pl lua r m swift kt scala "
+    "vb asm css scss less toml env properties reg url vbs wsf applescript gradle dockerfile makefile cmake diff patch srt vtt tex".split()
+)
+KINDS = {
+    **dict.fromkeys(TEXT, "text"), **dict.fromkeys(("html", "htm", "xhtml", "mhtml"), "html"), **dict.fromkeys(("docx", "docm"), "docx"), **dict.fromkeys(("xlsx", "xlsm"), "xlsx"),
+    **dict.fromkeys(("pptx", "pptm"), "pptx"), **dict.fromkeys(("doc", "xls", "ppt"), "ole"), "rtf": "rtf", "eml": "eml", "pdf": "pdf", "msg": "msg",
+}
 
 
 class _Html(HTMLParser):
@@ -48,14 +59,17 @@ def html_text(text: str) -> str:
 
 
 def rtf_plain(text: str) -> str:
-    text = re.sub(r"\\'[0-9a-fA-F]{2}", " ", text)
+    text = re.sub(r"\\'[0-9a-fA-F]{2}", "", text)
     return re.sub(r"[{}\\]", " ", re.sub(r"\\[a-zA-Z]+-?\d* ?", " ", text))
 
 
+_PRINTABLE = bytes([9, 10, 13, *range(32, 127)])
+
+
 def looks_like_text(data: bytes) -> bool:
-    """No NUL and more than 85 % printable in the first 8 KiB."""
+    """No NUL and more than 85 % printable ASCII in the first 8 KiB."""
     head = data[:SAMPLE]
-    return bool(head) and 0 not in head and sum(b >= 32 or b in (9, 10, 13) for b in head) / len(head) > 0.85
+    return bool(head) and 0 not in head and len(head.translate(None, _PRINTABLE)) < 0.15 * len(head)
 
 
 def _members(names: list[str], kind: str) -> list[str]:
@@ -97,19 +111,18 @@ def mail_text(data: bytes) -> str:
 
 def sniff(name: str, data: bytes) -> str:
     """Extractor by extension, else by the first bytes; '' for none."""
-    ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    known = {"htm": "html", "html": "html", "rtf": "rtf", "eml": "eml", "pdf": "pdf", "msg": "msg", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx"} | {e: "text" for e in _TEXT}
-    if ext in known:
-        return known[ext]
+    ext = name.strip().rsplit(".", 1)[-1].lower() if "." in name else ""
+    if ext in KINDS:
+        return KINDS[ext]
     if data[:5] == b"%PDF-":
         return "pdf"
     if data[:4] == b"PK\x03\x04":
         return package_kind(data)
     if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
         return "ole"
-    if data[:5] == b"{\\rtf":
+    if data[:5].lower() == b"{\\rtf":
         return "rtf"
-    if re.search(rb"(?i)<(?:!doctype html|html|head|body)\b", data[:1024]):
+    if data[:1024].lstrip().lower().startswith((b"<!doctype html", b"<html")):
         return "html"
     return "text" if looks_like_text(data) else ""
 
@@ -121,7 +134,18 @@ def _decode(data: bytes) -> str:
     try:
         return data.decode("utf-8")
     except UnicodeDecodeError:
-        return data.decode("cp1252", "replace")
+        return _guess(data)
+
+
+def _guess(data: bytes) -> str:
+    """By the installed detector of encodings; Windows' Western code page where there is none or it finds nothing."""
+    try:
+        from charset_normalizer import from_bytes
+
+        best = from_bytes(data).best()
+    except ImportError:
+        best = None
+    return data.decode("cp1252", "replace") if best is None else str(best)
 
 
 def extract(name: str, data: bytes | None) -> tuple[str, str, int, bool, str]:
@@ -131,7 +155,7 @@ def extract(name: str, data: bytes | None) -> tuple[str, str, int, bool, str]:
     kind = sniff(name or "", data)
     try:
         if kind in ("pdf", "msg", "ole"):
-            return kind, "", 0, False, f"no library for {kind}"
+            return kind, "", 0, False, "legacy document format, not supported" if kind == "ole" else f"no library for {kind}"
         text = {"html": lambda: html_text(_decode(data)), "rtf": lambda: rtf_plain(data.decode("latin-1")), "eml": lambda: mail_text(data), "text": lambda: _decode(data), "": lambda: ""}.get(kind, lambda: office_text(data, kind))()
     except Exception as e:  # noqa: BLE001  a broken file is a result
         return kind, "", 0, False, f"{type(e).__name__}: {e}"
@@ -152,9 +176,15 @@ def extract_texts(files: DataFrame) -> DataFrame:
     return files.select("path", "name", "content").mapInArrow(run, SCHEMA)
 
 
+@F.pandas_udf(T.StringType())
+def blake2b(content: pd.Series) -> pd.Series:
+    """BLAKE2b-512 in hex, which the JVM lacks; NULL stays NULL."""
+    return content.map(lambda x: hashlib.blake2b(x).hexdigest(), na_action="ignore")
+
+
 def file_hashes(files: DataFrame, content: str = "content", algos: tuple[str, ...] = ("md5", "sha1", "sha256")) -> DataFrame:
-    """files without the content, with the digests: JVM expressions in one pass."""
-    make = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512)}
+    """files without the content, with the digests: one pass, JVM expressions but for blake2b."""
+    make = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "blake2b": blake2b}
     unknown = [a for a in algos if a not in make]
     if unknown:
         raise ValueError("unknown algorithms " + ", ".join(unknown))

@@ -93,19 +93,19 @@ def expected_extension(index: Column, prefix: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index terms: lower-case runs of letters and digits, up to 39 bytes long."""
+    """Index terms: lower-case runs of letters and digits, up to 39 bytes long. Give text in normal form C (``composed``) where it may not be."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < 40))
 
 
-def tidy_text(text: Column, most: int = 1_000_000) -> Column:
-    """Runs of blanks, tabs and no-break spaces as one blank, three or more line ends as two, at most ``most`` characters, outer white space off."""
+def tidy_text(text: Column, most: int | None = None) -> Column:
+    """Runs of blanks, tabs and no-break spaces as one blank, three or more line ends as two, outer white space off; ``most``: characters kept, all by default."""
     t = F.regexp_replace(F.regexp_replace(text, "[ \\t\u00a0]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.substring(t, 1, most), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.substring(t, 1, most) if most else t, r"^\s+|\s+$", "")
 
 
 def rtf_text(text: Column) -> Column:
     """RTF without escapes, control words and braces."""
-    t = F.regexp_replace(text, r"\\'[0-9a-fA-F]{2}", " ")
+    t = F.regexp_replace(text, r"\\'[0-9a-fA-F]{2}", "")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+-?\d* ?", " ")
     return tidy_text(F.regexp_replace(t, r"[{}\\]", " "))
 
@@ -116,8 +116,19 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-def normalise_query(text: Column) -> Column:
-    return F.lower(nfc(text))
+#: Combining marks and letters that normal form C joins or writes otherwise in the scripts indexed here.
+_LOOSE = r"[\u0300-\u036f\u0958-\u095f\u1100-\u11ff\u2126\u212a\u212b\u3099\u309a]"
+
+
+def composed(text: Column) -> Column:
+    """Normal form C. Only texts with loose marks leave the JVM: the others are passed as NULL."""
+    loose = text.rlike(_LOOSE)
+    return F.coalesce(nfc(F.when(loose, text)), text)
+
+
+def normalise_query(text: str) -> str:
+    """A query as the index has it: normal form C, lower case."""
+    return unicodedata.normalize("NFC", text).lower()
 
 
 @F.pandas_udf(T.LongType())

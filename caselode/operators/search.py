@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselode.functions.digests import WORDS, digest_columns, digest_distance
-from caselode.functions.scalars import tokens
+from caselode.functions.scalars import composed, normalise_query, tokens
 
 #: Published defaults of the relevance formula.
 K1, B = 1.2, 0.75
@@ -16,7 +16,7 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, doc: str, evidence: str, text: str) -> DataFrame:
     """evidence, doc, term, tf, dl: one row for each term of a document."""
-    t = docs.select(F.col(evidence).alias("evidence"), F.col(doc).alias("doc"), tokens(F.col(f"`{text}`")).alias("terms")).withColumn("dl", F.size("terms"))
+    t = docs.select(F.col(evidence).alias("evidence"), F.col(doc).alias("doc"), tokens(composed(F.col(f"`{text}`"))).alias("terms")).withColumn("dl", F.size("terms"))
     return t.select("evidence", "doc", "dl", F.explode("terms").alias("term")).groupBy("evidence", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -25,6 +25,11 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("evidence", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def query_words(query: str) -> list[str]:
+    """The terms of a query, as the index has them."""
+    return sorted({w for w in re.split(r"[\W_]+", normalise_query(query)) if w and len(w.encode()) < 40})
+
+
 def keyword_search(docs: DataFrame, doc: str, evidence: str, text: str, query: str, k: int = 50) -> DataFrame:
     """The k best documents for any of the query's words: evidence, doc, score rounded to 4 decimals.
 
@@ -32,8 +37,8 @@ def keyword_search(docs: DataFrame, doc: str, evidence: str, text: str, query: s
     query word are scored, and only the query's words are counted: the terms are filtered before
     they are exploded. An empty query finds nothing.
     """
-    words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w and len(w.encode()) < 40})
-    base = docs.select(F.col(evidence).alias("evidence"), F.col(doc).alias("doc"), tokens(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+    words = query_words(query)
+    base = docs.select(F.col(evidence).alias("evidence"), F.col(doc).alias("doc"), tokens(composed(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("terms")).withColumn("dl", F.size("terms"))
     size = base.groupBy("evidence").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hits = (
         base.select("evidence", "doc", "dl", F.explode(F.filter("terms", lambda t: t.isin(*words) if words else F.lit(False))).alias("term"))
@@ -81,7 +86,11 @@ def digest_prefix(docs: DataFrame, column: str, prefix: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in ``order``. A hash aggregate, so that no key's rows meet sorted in one task."""
+    """One row for each key: the first in ``order``.
+
+    An aggregate with a partial step before the shuffle, so that a hot key leaves one row a task. Spark
+    runs it as a sort aggregate, since whole rows are no fixed-width buffer: partitions are sorted by key, and spill.
+    """
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     first = df.groupBy(*[(F.col(k) if isinstance(k, str) else k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(rest, F.struct(*order)).alias("__r"))
     return first.select(*[F.col("__r").getField(c).alias(c) for c in df.columns])
@@ -107,9 +116,3 @@ def similar_files(files: DataFrame, digest: str, most: int = 80, k: int = 300) -
     rows = files.select("id", "path", F.inline(F.array(F.struct(*[c.alias(n) for n, c in digest_columns(F.col("tlsh")).items()])))).where("hd is not null")
     near = rows.select("id", "path", digest_distance({n: F.col(n) for n in (*WORDS, "hd")}, query).cast("int").alias("distance")).where(F.col("distance") <= most)
     return near.orderBy("distance", "id").limit(k)
-
-
-def running_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds is_first: whether the row is its key's first (where all rows must be kept)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("is_first", F.row_number().over(w) == 1)

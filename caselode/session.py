@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names in spark.checkpoint.dir; only where none is set (tests) a temporary one is used."""
+    """Keeps the folder that the cluster names in spark.checkpoint.dir; where none is set a temporary one is used in local mode (tests), and a cluster is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caselode-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="caselode-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

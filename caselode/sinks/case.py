@@ -6,9 +6,12 @@ import hashlib
 import hmac
 import json
 import os
+import re
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 from caselode.functions.scalars import csv_safe
 from caselode.operators import audit
 from caselode.operators.search import keep_first
+from caselode.sources.ranges import open_range
 
 #: Fixed value: the manifest's own files, which it leaves out.
 OWN_FILES = ("manifest.json", "manifest.sig")
@@ -98,16 +102,98 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+#: Fixed value: how the name of a set begins that is not complete.
+STAGING = "~staging~"
+
+
 def import_set(known_hash: DataFrame, hashes: DataFrame, set_id: int) -> DataFrame:
     """known_hash with the set's hashes added, each (algo, hash) once for a set."""
     return keep_first(known_hash.unionByName(hashes.select(F.lit(set_id).cast("bigint").alias("set_id"), "algo", "hash")), ["set_id", "algo", "hash"], [F.col("set_id")])
 
 
+_SET = "id bigint, name string, source_path string, kind string, n_hashes bigint, complete boolean"
+
+
+class KnownSets:
+    """Imported hash sets of a case: a set is staged under a name that no lookup sees, then promoted or discarded as a whole."""
+
+    def __init__(self, case: Case):
+        self.case = case
+
+    def sets(self) -> DataFrame:
+        """One row for each set; empty before the first import."""
+        return self.case.table("hash_set") if os.path.isdir(self.case.path("hash_set")) else self.case.spark.createDataFrame([], _SET)
+
+    def hashes(self) -> DataFrame:
+        """(algo, hash, set_id) of all sets, staged ones included."""
+        schema = "algo string, hash string, set_id bigint"
+        path = self.case.path("known_hash")
+        return self.case.spark.read.schema(schema).parquet(path) if os.path.isdir(path) else self.case.spark.createDataFrame([], schema)
+
+    def stage(self, name: str, hashes: DataFrame, source_path: str = "", kind: str = "list") -> int:
+        """Stores the hashes, each (algo, hash) once, under a staging name; gives the set's id. The number stored is counted from what was written."""
+        new = (self.sets().agg(F.max("id")).first()[0] or 0) + 1
+        self.case.append("known_hash", hashes.select("algo", "hash").distinct().withColumn("set_id", F.lit(new).cast("bigint")), "set_id")
+        stored = self.hashes().where(F.col("set_id") == new).count()
+        row = self.case.spark.createDataFrame([(new, STAGING + name, source_path, kind, stored, False)], _SET)
+        self.case.replace("hash_set", self.sets().unionByName(row))
+        self.case.log("hash_set.stage", {"hashes": stored, "id": new, "name": name})
+        return new
+
+    def promote(self, set_id: int) -> None:
+        """Makes a staged set visible; a set of the same name is replaced."""
+        name = self._name(set_id).removeprefix(STAGING)
+        sets = self.sets().where((F.col("name") != name) | (F.col("id") == set_id))
+        mine = F.col("id") == set_id
+        self.case.replace("hash_set", sets.withColumns({"name": F.when(mine, name).otherwise(F.col("name")), "complete": mine | F.col("complete")}))
+        self._sweep()
+        self.case.log("hash_set.promote", {"id": set_id, "name": name})
+
+    def discard(self, set_id: int) -> None:
+        """Removes a staged set with its hashes."""
+        name = self._name(set_id)
+        if not name.startswith(STAGING):
+            raise ValueError(f"set {set_id} is not staged")
+        self.case.replace("hash_set", self.sets().where(F.col("id") != set_id))
+        self._sweep()
+        self.case.log("hash_set.discard", {"id": set_id, "name": name})
+
+    def delete(self, name: str) -> int:
+        """Removes the sets of that name; gives how many."""
+        n = self.sets().where(F.col("name") == name).count()
+        if n:
+            self.case.replace("hash_set", self.sets().where(F.col("name") != name))
+            self._sweep()
+            self.case.log("hash_set.delete", {"name": name, "sets": n})
+        return n
+
+    def _name(self, set_id: int) -> str:
+        row = self.sets().where(F.col("id") == set_id).first()
+        if row is None:
+            raise KeyError(set_id)
+        return row["name"]
+
+    def _sweep(self) -> None:
+        """Hashes of sets that are gone go as whole partitions: nothing else is rewritten."""
+        live = {r["id"] for r in self.sets().select("id").collect()}  # one row for each set
+        for entry in os.listdir(self.case.path("known_hash")):
+            if entry.startswith("set_id=") and int(entry.removeprefix("set_id=")) not in live:
+                shutil.rmtree(os.path.join(self.case.path("known_hash"), entry))
+
+
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, size_bytes, sha256 of every file under the folder except the manifest's own."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = "^.*" + root.rstrip("/").replace(".", r"\.") + "/"
-    return raw.select(F.regexp_replace("path", prefix, "").alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").isin(*OWN_FILES)).orderBy("path")
+    # contents are not selected here, so files of any size are listed and then read in blocks where they are hashed
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size_bytes"))
+    prefix = "^.*" + re.escape(root.rstrip("/")) + "/"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [hash_file(p, ("sha256",))["sha256"] for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "size_bytes", "sha256"])
+
+    hashed = raw.mapInArrow(digest, "path string, size_bytes bigint, sha256 string")
+    return hashed.withColumn("path", F.regexp_replace("path", prefix, "")).where(~F.col("path").isin(*OWN_FILES)).orderBy("path")
 
 
 def sign_manifest(manifest: DataFrame, root: str, key: bytes) -> str:
@@ -129,7 +215,7 @@ def verify_manifest(root: str, key: bytes) -> bool:
 def hash_file(path: str, algos: tuple[str, ...] = ("sha256", "md5"), block: int = 1 << 20) -> dict[str, str]:
     """All digests of a file in one read, whatever its size."""
     hashers = {a: hashlib.new(a) for a in dict.fromkeys(algos)}
-    with open(path, "rb") as f:
+    with open_range(path) as f:
         while data := f.read(block):
             for h in hashers.values():
                 h.update(data)

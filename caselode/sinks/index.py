@@ -6,26 +6,29 @@ files, and parquet keeps their minima and maxima). Ranges of (evidence, term) ke
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.functions.scalars import tokens
-from caselode.operators.search import B, K1, postings
+from caselode.functions.scalars import composed, tokens
+from caselode.operators.search import B, K1, postings, query_words
 
 
 def write_index(docs: DataFrame, path: str, doc: str, evidence: str, text: str, mode: str = "overwrite") -> None:
-    """postings and sizes under ``path``. mode 'append' adds the documents of further evidence items."""
+    """postings and sizes under ``path``. mode 'append' adds further evidence items; one that is indexed already is an error, as its terms would count twice."""
+    if mode == "append":
+        there = docs.sparkSession.read.parquet(f"{path}/sizes").select(F.col("evidence").cast("string"))
+        again = docs.select(F.col(evidence).cast("string").alias("evidence")).distinct().join(there, "evidence", "left_semi").take(1)
+        if again:
+            raise ValueError(f"{again[0]['evidence']} is in the index already")
     posts = postings(docs.where(F.col(f"`{text}`").isNotNull()), doc, evidence, text)
     posts.repartitionByRange("evidence", "term").sortWithinPartitions("evidence", "term").write.mode(mode).partitionBy("evidence").parquet(f"{path}/postings")
-    sizes = docs.select(F.col(evidence).alias("evidence"), F.size(tokens(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("dl")).groupBy("evidence").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    sizes = docs.select(F.col(evidence).alias("evidence"), F.size(tokens(composed(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).alias("dl")).groupBy("evidence").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     sizes.write.mode(mode).parquet(f"{path}/sizes")
 
 
 def search_index(spark: SparkSession, path: str, query: str, k: int = 50) -> DataFrame:
     """evidence, doc, score: as keyword_search, from the index. An empty query finds nothing."""
-    words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
+    words = query_words(query)
     hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*words) if words else F.lit(False)).withColumn("evidence", F.col("evidence").cast("string"))
     sizes = spark.read.parquet(f"{path}/sizes").withColumn("evidence", F.col("evidence").cast("string"))
     df = hits.groupBy("evidence", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows read of a table, characters of a part.
-MAX_ROWS = 200_000
+#: Fixed value: characters of a part.
 PART_CHARS = 500_000
+#: Bytes of write-ahead logs that are broadcast at most.
+LOG_BYTES = 32 << 20
 #: File names of registry hives.
 HIVES = ("ntuser.dat", "usrclass.dat", "system", "software", "sam", "security", "default", "components", "drivers", "bcd")
 UNAVAILABLE = {"pst": "mail stores", "registry": "registry hives", "esedb": "ESE databases"}
@@ -29,16 +30,15 @@ def artifact_kind(name: Column, head: Column) -> Column:
     """Kind of a container from its name and first bytes (BINARY); '' for none. Extensions that are only flagged come first, then magic bytes, then names."""
     low = F.lower(name)
     ext = F.when(low.contains("."), F.element_at(F.split(low, r"\."), -1)).otherwise("")
-    magic = F.hex(F.substring(head, 1, 16))
-    starts = lambda *h: F.greatest(*[F.coalesce(magic.startswith(x), F.lit(False)) for x in h]) if len(h) > 1 else F.coalesce(magic.startswith(h[0]), F.lit(False))
+    at = lambda mark, place=1: F.coalesce(F.substring(head, place, len(mark)) == F.lit(mark), F.lit(False))
     return (
         F.when(ext.isin("crypt12", "crypt14", "crypt15"), "whatsapp_encrypted")
         .when(ext.isin("mem", "vmem", "raw", "lime", "dmp", "core"), "memory")
-        .when(ext.isin("pcap", "pcapng", "cap") | starts("D4C3B2A1", "A1B2C3D4", "0A0D0D0A"), "pcap")
-        .when(starts("2142444E"), "pst")
-        .when(starts("72656766"), "registry")
-        .when(F.coalesce(F.substring(magic, 9, 8) == "EFCDAB89", F.lit(False)), "esedb")
-        .when(starts("53514C69746520666F726D6174203300"), "sqlite")
+        .when(ext.isin("pcap", "pcapng", "cap") | at(b"\xd4\xc3\xb2\xa1") | at(b"\xa1\xb2\xc3\xd4") | at(b"\n\r\r\n"), "pcap")
+        .when(at(b"!BDN"), "pst")
+        .when(at(b"regf"), "registry")
+        .when(at(b"\xef\xcd\xab\x89", 5), "esedb")
+        .when(at(b"SQLite format 3\0"), "sqlite")
         .when(low.isin(*HIVES), "registry")
         .when(ext.isin("pst", "ost", "pab"), "pst")
         .when(ext.isin("edb", "ese"), "esedb")
@@ -48,8 +48,8 @@ def artifact_kind(name: Column, head: Column) -> Column:
     )
 
 
-def sqlite_parts(content: bytes, wal: bytes | None = None, max_rows: int = MAX_ROWS, part_chars: int = PART_CHARS) -> Iterator[tuple[str, str, str]]:
-    """subpath, name, text of every table: rows of non-empty cells joined by ' | ', cut into parts of about ``part_chars``."""
+def sqlite_parts(content: bytes, wal: bytes | None = None, max_rows: int = 0, part_chars: int = PART_CHARS) -> Iterator[tuple[str, str, str]]:
+    """subpath, name, text of every table: rows of non-empty cells joined by ' | ', cut into parts of about ``part_chars``. max_rows > 0 reads so many rows of a table and says so in its last line."""
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "copy.db")
         with open(path, "wb") as f:
@@ -63,7 +63,10 @@ def sqlite_parts(content: bytes, wal: bytes | None = None, max_rows: int = MAX_R
             for (table,) in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name").fetchall():
                 quoted = '"' + table.replace('"', '""') + '"'
                 parts, lines, size = [], [], 0
-                for row in db.execute(f"select * from {quoted} limit {max_rows}"):
+                for n, row in enumerate(db.execute(f"select * from {quoted}")):
+                    if max_rows and n == max_rows:
+                        lines.append(f"[rows beyond {max_rows} left out]")
+                        break
                     line = " | ".join(v.decode("latin-1") if isinstance(v, bytes) else str(v) for v in row if v not in (None, "", b""))
                     if line:
                         lines.append(line)
@@ -114,7 +117,7 @@ def explode_containers(files: DataFrame, quarantine_key: bytes | None = None) ->
                         out += [(path, kind, *part, "") for part in sqlite_parts(content, wal)]
                     elif kind == "defender_quarantine" and quarantine_key:
                         plain = rc4(quarantine_key, content)
-                        text = "\n".join(m.decode("ascii") for m in re.findall(rb"[\t\x20-\x7e]{6,}", plain)[:5000])
+                        text = "\n".join(m.decode("ascii") for m in re.findall(rb"[\t\x20-\x7e]{6,}", plain))
                         out.append((path, kind, "quarantine/decrypted", "decrypted", text, ""))
                     else:
                         out.append((path, kind, "", "", None, f"no library for {UNAVAILABLE[kind]}" if kind in UNAVAILABLE else "identified, not read"))
@@ -122,4 +125,10 @@ def explode_containers(files: DataFrame, quarantine_key: bytes | None = None) ->
                     out.append((path, kind, "", "", None, f"{type(e).__name__}: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 6, names=["path", "kind", "subpath", "name", "text", "error"])
 
-    return rows.join(logs, "path", "left").select("path", "kind", "content", "wal").mapInArrow(read, SCHEMA)
+    # contents are shuffled only where there are logs of more than LOG_BYTES altogether
+    size = logs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("wal")), F.lit(0)).alias("bytes")).first()
+    if not size["n"]:
+        paired = rows.withColumn("wal", F.lit(None).cast("binary"))
+    else:
+        paired = rows.join(F.broadcast(logs) if size["bytes"] <= LOG_BYTES else logs, "path", "left")
+    return paired.select("path", "kind", "content", "wal").mapInArrow(read, SCHEMA)

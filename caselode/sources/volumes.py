@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselode.sources.ranges import open_range, size_of
+
 SECTOR = 512
 SCHEMA = "image string, volume_offset bigint, size_bytes bigint, volume_label string, kind string, encryption string, file_system string"
 #: Partition types without a file system of their own (empty, extended, protective).
@@ -28,7 +29,7 @@ def partitions(read, size: int) -> list[tuple[int, int, str]]:
     head = read(SECTOR, SECTOR)
     if head[:8] == b"EFI PART":
         table, count, width = struct.unpack_from("<Q", head, 72)[0], *struct.unpack_from("<II", head, 80)
-        raw = read(table * SECTOR, min(count, 1024) * width)
+        raw = read(table * SECTOR, min(count * width, size))
         out = []
         for k in range(len(raw) // width if width else 0):
             entry = raw[k * width : (k + 1) * width]
@@ -88,6 +89,34 @@ def encryption_column(head: Column) -> Column:
     return F.when(F.substring(h, 7, 16) == b"-FVE-FS-".hex().upper(), "bitlocker").when(h.startswith(b"LUKS\xba\xbe".hex().upper()), "luks").when(F.substring(h, 177, 4) == "4353", "filevault").otherwise("")
 
 
+def volumes_of(image: str, read, size: int) -> list[tuple]:
+    """Rows of SCHEMA for the volumes of one image; read: (offset, length) -> bytes."""
+    out = []
+    for k, (at, length, kind) in enumerate(partitions(read, size), 1):
+        head = read(at, 2048)
+        out.append((image, at, min(length, size - at), f"vol{k}", kind, encryption_of(head), file_system_of(head)))
+    return out
+
+
+def volumes_in(images: DataFrame) -> DataFrame:
+    """As scan_volumes for images at hand as bytes: columns image, size_bytes and head (the tables and the beginnings of volumes; what lies beyond reads as zeros)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for image, size, head in zip(*(batch.column(c).to_pylist() for c in ("image", "size_bytes", "head")), strict=True):
+                data = head or b""
+                rows += volumes_of(image, lambda at, n, data=data: data[at : at + n].ljust(min(n, SECTOR), b"\0"), size if size is not None else len(data))
+            yield _record(rows)
+
+    return images.select("image", "size_bytes", "head").mapInArrow(run, SCHEMA)
+
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
 def scan_volumes(spark: SparkSession, images: DataFrame) -> DataFrame:
     """One row for each volume of the raw images in column ``path``; an image without a table is one volume, an unreadable one a row with kind 'error: …'."""
 
@@ -96,20 +125,17 @@ def scan_volumes(spark: SparkSession, images: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for path in batch.column(0).to_pylist():
                 try:
-                    size = os.path.getsize(path)
-                    with open(path, "rb") as f:
+                    size = size_of(path)
+                    with open_range(path) as f:
 
                         def read(at: int, n: int, f=f) -> bytes:
                             f.seek(at)
                             return f.read(n).ljust(min(n, SECTOR), b"\0")
 
-                        for k, (at, length, kind) in enumerate(partitions(read, size), 1):
-                            head = read(at, 2048)
-                            rows.append((path, at, min(length, size - at), f"vol{k}", kind, encryption_of(head), file_system_of(head)))
+                        rows += volumes_of(path, read, size)
                 except OSError as e:
                     rows.append((path, 0, None, "", f"error: {e.strerror}", "", ""))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield _record(rows)
 
     return images.select("path").mapInArrow(run, SCHEMA)
 

@@ -38,7 +38,10 @@ def test_strings_do_not_depend_on_pages(spark, tmp_path, page):
     strings = raw.page_strings(pages).cache()
     texts = {(r["encoding"], r["offset"], r["text"]) for r in strings.where("encoding in ('ascii', 'utf-16-le')").collect()}
     assert ("ascii", 100, "hello indicator a@b.org ") in texts and ("utf-16-le", 9000, "wide text here") in texts
-    assert any(o == 4090 and t.startswith("straddling text over the edge 10.1.2.3") for _, o, t in texts)
+    assert ("ascii", 4090, "straddling text over the edge 10.1.2.3 ") in texts
+    whole = raw.page_strings(spark.createDataFrame([("x", 0, 20_000, bytearray(open(path, "rb").read()))], "image string, page_offset bigint, body_length int, data binary"))
+    everything = lambda df: sorted((r["encoding"], r["offset"], r["text"]) for r in df.collect())
+    assert everything(strings) == everything(whole)  # none twice, and every offset is the run's first byte
     assert {r["value"] for r in raw.page_indicators(strings.where("encoding = 'ascii'")).collect()} >= {"a@b.org", "10.1.2.3"}
     assert any("Übung" in r["text"] for r in strings.where("encoding = 'cp1252'").collect())
     assert raw.sweep_stats(pages, strings).first()["bytes"] == 20_000
@@ -47,15 +50,47 @@ def test_strings_do_not_depend_on_pages(spark, tmp_path, page):
 @pytest.mark.parametrize("window", [5000, 16_380, 100_000])
 def test_carving_does_not_depend_on_windows(spark, tmp_path, window):
     path, want = disk(tmp_path)
-    got = raw.carve_image(spark, path, window, 16_384)
+    got = raw.carve_image(spark, path, window)
     assert {(r["kind"], r["offset"], r["size"]) for r in got.collect()} == want
     assert {r["kind"]: r["files"] for r in raw.carve_stats(got).collect()} == {"jpeg": 1, "png": 1, "bmp": 1}
 
 
+def test_what_the_end_cuts_is_not_complete(spark, tmp_path):
+    path = tmp_path / "cut.dd"
+    path.write_bytes(b"BM" + struct.pack("<IIII", 40_000_000, 0, 54, 40) + b"\x04" * 1000 + b"%PDF-1." + b"x" * 600)
+    got = [(r["kind"], r["complete"], r["sha256"]) for r in raw.carve_image(spark, str(path), 64).collect()]
+    assert got == [("bmp", False, None)]  # no digest of half a file; a header whose footer never comes is no file
+    page = spark.createDataFrame([("i", 0, 16, b"%PDF-1." + b"x" * 600)], "image string, page_offset bigint, body_length int, data binary")
+    assert [tuple(r) for r in raw.carve_pages(page).select("kind", "size", "complete").collect()] == [("pdf", 607, False)]
+
+
+def test_long_runs_and_one_pass(spark, tmp_path):
+    text = bytes(32 + i % 90 for i in range(5000))
+    path = tmp_path / "long.dd"
+    path.write_bytes(b"\1" * 10 + text + b"\1" * 10)
+    for page, margin in ((1000, 100), (64, 40), (2048, 4096)):
+        pages = image.read_pages(spark, str(path), page, margin)
+        rows = sorted((r["offset"], r["text"]) for r in raw.page_strings(pages, "ascii_utf16").collect() if r["encoding"] == "ascii")
+        assert "".join(t for _, t in rows).encode() == text and rows[0][0] == 10
+    disk_path, carved = disk(tmp_path)
+    pages = image.read_pages(spark, disk_path, 4096, 16_384)
+    both = raw.sweep_and_carve(pages).cache()
+    assert {(r["label"], r["offset"], r["size"]) for r in both.where("what = 'carved' and complete").collect()} == carved
+    assert both.where("what = 'string'").count() == raw.page_strings(pages).count()
+
+
+def test_page_text(spark):
+    data = b"first run of text\0" + b"second run here\1" + "wide one".encode("utf-16-le")
+    page = spark.createDataFrame([("i", 0, len(data), data), ("j", 0, 0, None)], "image string, page_offset bigint, body_length int, data binary")
+    got = {r["image"]: r for r in raw.page_text(page, "ascii_utf16", most=5).collect()}
+    assert got["i"]["text"] == "first run of text\nwide one\nide one" and got["i"]["left_out"] == 1 and got["j"]["text"] == ""
+    assert raw.page_text(page, "ascii_utf16", most=0).where("image = 'i'").first()["strings"] == 4
+
+
 def test_formats(spark):
-    assert [image.detect_format(n, h) for n, h in (("a.E01", b"EVF\t\r\n\xff\0"), ("a.Ex01", b"EVF2\r\n\x81\0"), ("a.L01", b"LVF\t"), ("a.E01", b"\x7fELF"), ("a.aff4", b""), ("a.dd", b"xx"))] == ["E01", "Ex01", "L01", "UNKNOWN", "AFF4", "RAW"]
-    df = spark.createDataFrame([("a.E01", b"\x7fELF"), ("b.E01", b"EVF\t\r\n\xff\0"), ("c.dd", b"")], "p string, h binary")
-    assert [r[0] for r in df.orderBy("p").select(image.format_column(F.col("p"), F.col("h"))).collect()] == ["UNKNOWN", "E01", "RAW"]
+    assert [image.detect_format(n, h) for n, h in (("a.E01", b"EVF\t\r\n\xff\0"), ("a.Ex01", b"EVF2\r\n\x81\0"), ("a.L01", b"LVF\t"), ("a.E01", b"\x7fELF"), ("a.aff4", b""), ("a.dd", b"xx"), ("a.zip", b"PK\x03\x04..Container.Description"))] == ["E01", "Ex01", "L01", "UNKNOWN", "AFF4", "RAW", "AFF4"]
+    df = spark.createDataFrame([("a.E01", b"\x7fELF"), ("b.E01", b"EVF\t\r\n\xff\0"), ("c.dd", b""), ("d.dd", b"PK\x03\x04..aff4://x"), ("e.dd", None)], "p string, h binary")
+    assert [r[0] for r in df.orderBy("p").select(image.format_column(F.col("p"), F.col("h"))).collect()] == ["UNKNOWN", "E01", "RAW", "AFF4", "RAW"]
 
 
 def segment(number, kind, ok=True):
@@ -90,6 +125,31 @@ def test_containers(spark, tmp_path):
     assert "no library" in by["/m.pst"]["error"] and by["/y.db"]["kind"] == "sqlcipher" and by["/z.sqlite"]["error"] and "/n.txt" not in by and by["/w.mem"]["kind"] == "memory"
 
 
+def test_segments_by_path(spark, tmp_path):
+    (tmp_path / "a.E01").write_bytes(segment(1, b"done"))
+    paths = spark.createDataFrame([(str(tmp_path / "a.E01"),), (str(tmp_path / "gone.E01"),)], "path string")
+    got = {r["path"][-8:]: (r["status"], r["notes"]) for r in segments.inspect_segments(paths).collect()}
+    assert got[str(tmp_path / "a.E01")[-8:]] == ("OK", []) and got["gone.E01"][0] == "BAD" and "not readable" in got["gone.E01"][1][0]
+
+
+def test_known_sets(spark, tmp_path):
+    c = case.Case.create(spark, str(tmp_path / "k"), "n", "me")
+    sets, h = case.KnownSets(c), spark.createDataFrame([("md5", "b" * 32), ("md5", "b" * 32), ("sha256", "a" * 64)], "algo string, hash string")
+    one = sets.stage("os", h)
+    assert [(r["name"], r["n_hashes"], r["complete"]) for r in sets.sets().collect()] == [("~staging~os", 2, False)]
+    sets.promote(one)
+    two = sets.stage("os", h.limit(1))
+    sets.discard(two)
+    assert sets.hashes().count() == 2 and [r["name"] for r in sets.sets().collect()] == ["os"]
+    with pytest.raises(ValueError):
+        sets.discard(one)
+    three = sets.stage("os", h.limit(1))
+    sets.promote(three)  # takes the place of the set of that name
+    assert [(r["id"], r["name"], r["complete"]) for r in sets.sets().collect()] == [(three, "os", True)] and sets.hashes().count() == 1
+    assert sets.delete("os") == 1 and sets.delete("os") == 0 and sets.hashes().count() == 0
+    assert audit.verify(c.table("audit_log")).first()["ok"]
+
+
 def test_hash_sources(spark, tmp_path):
     sha, md5 = "a" * 64, "b" * 32
     (tmp_path / "l.txt").write_text(f"# c\n{sha.upper()}  x\nbad\n")
@@ -129,6 +189,12 @@ def test_extraction(spark):
     assert [got[k]["text"] for k in "abcdf"] == ["yes bold", "Hello World", "Hello docx", "s2 s10", "a b\n\nc"]
     assert "Subject: S" in got["e"]["text"] and got["e"]["text"].endswith("body")
     assert "no library" in got["g"]["error"] and got["h"]["extractor"] == "" and got["i"]["error"] and got["j"]["error"] and not got["k"]["text"]
+    kinds = {n: extract.sniff(n, d) for n, d in (("a.docm", b""), ("b.xlsm", b""), ("c.doc", b""), ("d.toml", b""), ("e.xhtml", b""), ("f", b"  <!DOCTYPE html>"), ("g", b"see <body> below"), ("h", bytes(range(200, 250)) * 9), ("i", b"{\\RTF1 x}"))}
+    assert kinds == {"a.docm": "docx", "b.xlsm": "xlsx", "c.doc": "ole", "d.toml": "text", "e.xhtml": "html", "f": "html", "g": "text", "h": "", "i": "rtf"}
+    assert extract.rtf_plain(r"{\rtf1 caf\'e9teria}").strip() == "cafteria"
+    russian = "Комиссия проверила журнал и нашла в нём ошибки, о которых сообщила в тот же день начальнику отдела."
+    assert extract.extract("x.txt", russian.encode("cp1251"))[1] == russian and extract.extract("x.txt", "größer".encode("cp1252"))[1] != ""
+    assert extract.file_hashes(df, algos=("blake2b",)).where("path = '/k.txt'").first()["blake2b"].startswith("786a02f7")
     assert extract.file_hashes(df).where("path = '/k.txt'").first()["md5"] == "d41d8cd98f00b204e9800998ecf8427e"
 
 

@@ -69,7 +69,8 @@ def test_scalars(spark):
     assert one(spark, scalars.safe_name, "C:\\a\\b?.txt") == "b_.txt" and one(spark, scalars.safe_name, "/") == "export.bin"
     assert one(spark, scalars.tidy_text, " a\u00a0\t b\n\n\n\nc ") == "a b\n\nc"
     assert one(spark, scalars.tokens, "Ab-c Déjà 12") == ["ab", "c", "déjà", "12"]
-    assert one(spark, scalars.normalise_query, unicodedata.normalize("NFD", "É")) == "é"
+    assert scalars.normalise_query(unicodedata.normalize("NFD", "É")) == "é"
+    assert [one(spark, scalars.composed, v) for v in (unicodedata.normalize("NFD", "Élan"), "Élan", "plain", None)] == ["Élan", "Élan", "plain", None]
     want = int.from_bytes(hashlib.blake2b(b"a\x1fb", digest_size=8).digest(), "big") & (2**63 - 1)
     assert spark.range(1).select(scalars.stable_doc_id(F.lit("a"), F.lit("b")).alias("x")).first()["x"] == want
 
