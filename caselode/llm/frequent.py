@@ -48,7 +48,7 @@ def frequent_items(
     names = [f"b{i}" for i in range(len(by))]
     # hash() skips NULLs, so their positions are hashed as well
     h = F.xxhash64(*[x for n in names for x in (F.col(n), F.col(n).isNull())], F.col("v"))
-    live = rows.where("v is not null").withColumn("h", h)
+    every = live = rows.where("v is not null").withColumn("h", h)
 
     limit = 0
     if share is not None:
@@ -64,7 +64,8 @@ def frequent_items(
         kept = cut(kept)
         if kept.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
             kept = F.broadcast(kept)
-        live = live.join(kept, _prefix(F.col("h"), n) == F.col("p"), "left_semi")
+        # prefixes that are left imply the shorter ones of earlier passes, so only the newest are joined
+        live = every.join(kept, _prefix(F.col("h"), n) == F.col("p"), "left_semi")
     out = live.groupBy(*names, "v").agg(F.sum("w").alias("total"))
     if k is not None:
         limit = max(limit, _kth(out, "total", k))
