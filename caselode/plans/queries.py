@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from caselode.functions import extract, patterns, scalars
 from caselode.operators import audit, findings, instants, known, provenance, rules, search, snapshots
+from caselode.plans import byte_queries
 from caselode.plans.instants_sql import P1_FOUND
 from caselode.session import cut, spread
 from caselode.sources import segments
@@ -372,7 +373,7 @@ def queries() -> dict:
         rtf_texts, rule_matches, rule_counts, artifact_kinds, findings_capped, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, audit_chain_heads,
         event_gaps, doc_ids, tlsh_similar, keyword_fallback, stream_event_counts,
     ]
-    return {f.__name__: f for f in own} | {f"ioc_{k}_findings": _ioc(k) for k in ("email", "ipv4", "phone")} | {f"ioc_{k}_values": _values(k) for k in ("url", "ipv6", "mac", "btc", "onion", "cc")}
+    return {f.__name__: f for f in own} | byte_queries.queries() | {f"ioc_{k}_findings": _ioc(k) for k in ("email", "ipv4", "phone")} | {f"ioc_{k}_values": _values(k) for k in ("url", "ipv6", "mac", "btc", "onion", "cc")}
 
 
 def _ioc_sql(kind: str, values: str) -> str:
@@ -405,7 +406,7 @@ _NUMBERS = f"""select distinct image_set, cast({_NUMBER.format(e="f")} as int) a
 def oracle_sql() -> dict[str, str]:
     tidy = r"regexp_replace(substring(regexp_replace(regexp_replace(text, '[ \t" + " " + r"]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), 1, 1000000), '^\s+|\s+$', '', 'g')"
     words = ", ".join(f"'{w}'" for w in sorted(WORDS.split()))
-    return {
+    return byte_queries.oracle_sql() | {
         "p1_found": P1_FOUND,
         "ioc_email_findings": _ioc_sql("email", r"regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24}')"),
         "ioc_ipv4_findings": _ioc_sql("ipv4", _RUNS.format(run="[0-9.]+", full=rf"(?:{_OCTET}\.){{3}}{_OCTET}")),
