@@ -6,9 +6,6 @@ UDFs, streaming) none is given, and tests compare with a plain Python version.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from caselode.functions import extract, patterns, scalars
 from caselode.operators import audit, findings, instants, known, provenance, rules, search, snapshots
 from caselode.plans import byte_queries
 from caselode.plans.instants_sql import P1_FOUND
-from caselode.session import cut, spread
+from caselode.session import cut, shared_folder, spread
 from caselode.sources import segments
 from caselode.sources.tables import table
 from caselode.streaming import ingest
@@ -24,7 +21,7 @@ from caselode.streaming import ingest
 #: Parameters of the search queries.
 WORDS = "server image checksum"
 NAME_PART = "invoice"
-PATH_PATTERN = r"\.(eml|pst|ost)$"
+PATH_PATTERN = r"(^LETTER$|\.ost$)"
 PREFIX = "a1"
 #: A rule whose strings occur in the texts.
 USER_RULES = """
@@ -156,7 +153,7 @@ def name_substring_search(spark, d):
 
 
 def regex_path_search(spark, d):
-    return search.regex_search(table(spark, d, "files").select("id", "path", F.lit("").alias("name")), "path", "name", PATH_PATTERN).select("id", "path")
+    return search.regex_search(table(spark, d, "files").select("id", "path", "name"), "path", "name", PATH_PATTERN).select("id", "path")
 
 
 def search_union(spark, d):
@@ -259,6 +256,12 @@ def rule_matches(spark, d):
     return rules.rule_matches(table(spark, d, "documents"), "text", "doc_id", rules=USER_RULES)
 
 
+def builtin_rule_counts(spark, d):
+    """The built-in rules over all texts and recorded values."""
+    texts = table(spark, d, "documents").select(F.lit("document").alias("place"), "text").unionByName(table(spark, d, "findings").select(F.lit("finding").alias("place"), F.col("value").alias("text")))
+    return rules.rule_counts(rules.rule_matches(spread(texts), "text", "place"), "place")
+
+
 def rule_counts(spark, d):
     return rules.rule_counts(rules.rule_matches(table(spark, d, "documents"), "text", "source", rules=USER_RULES), "source")
 
@@ -271,8 +274,9 @@ def artifact_kinds(spark, d):
 
 
 def findings_capped(spark, d):
-    """Whether a list of the 5,000 first findings leaves some out, and the weight of those left out."""
-    return findings.capped(table(spark, d, "findings").select("id", "evidence_id", "first_offset", "count"), ["id", "evidence_id", "first_offset"], 5000)[1]
+    """The 5,000 first findings (a list's limit), with whether some are left out and the weight of those."""
+    kept, note = findings.capped(table(spark, d, "findings").select("id", "evidence_id", "first_offset", "count"), ["id", "evidence_id", "first_offset"], 5000)
+    return kept.crossJoin(F.broadcast(note))  # one row
 
 
 def header_dates(spark, d):
@@ -345,24 +349,25 @@ def tlsh_similar(spark, d):
 
 
 def keyword_fallback(spark, d):
-    return search.keyword_fallback(table(spark, d, "documents"), "doc_id", "evidence_uuid", "text", "hive dump")[0]
+    """Two words that no text holds, but their joined form does."""
+    return search.keyword_fallback(table(spark, d, "documents"), "doc_id", "evidence_uuid", "text", "img walk")[0]
 
 
 def stream_event_counts(spark, d):
-    """Hourly counts of the events read as a stream until its end, with a watermark."""
-    from caselode.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext.getCheckpointDir()
-    base = os.path.join(shared.removeprefix("file:"), "stream") if shared and shared.startswith("file:") else (shared + "/stream" if shared else tempfile.mkdtemp())
-    run = f"{base}-{os.getpid()}-{os.urandom(4).hex()}"
+    """Hourly counts of the events read as a stream until its end, with a watermark: every window's last state, open ones included."""
+    run = shared_folder(spark, "stream")
     schema = table(spark, d, "events").schema
     # the reader of a stream takes folders, so a pattern names the one file
     stream = ingest.stream_table(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = ingest.windowed_counts(stream, "ts", "event_type", "1 hour", "1 hour").select(F.unix_seconds("start").alias("start_s"), "event_type", "n", "total")
-    q = counts.writeStream.format("parquet").outputMode("append").option("path", run + "/out").option("checkpointLocation", run + "/state").trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{run}/out/part={n}")  # a batch run again takes its own place
+
+    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", run + "/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return cut(spark.read.schema("start_s bigint, event_type string, n bigint, total double").parquet(run + "/out").withColumn("total", F.round("total", 6)))
+    states = spark.read.schema("start_s bigint, event_type string, n bigint, total double, batch int").parquet(f"{run}/out")
+    return cut(states.groupBy("start_s", "event_type").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 6).alias("total")))
 
 
 def queries() -> dict:
@@ -370,7 +375,7 @@ def queries() -> dict:
         p1_found, ioc_all_kinds, findings_summary, findings_top, findings_filter, findings_count, findings_dedup, indicator_rollup, carved_top, carved_search, known_counts, hashset_dedup,
         orphan_hashes, orphan_sweep, set_totals, known_label, sha256_prefix_search, name_substring_search, regex_path_search, search_union, hits_best, path_lookup, snapshot_dedup, snapshot_stats,
         keyword_search, term_stats, hide_known, hit_evidence, hit_items, container_items, item_meta, provenance_describe, origin_counts, csv_safe_export, document_hashes, tidy_documents, token_counts,
-        rtf_texts, rule_matches, rule_counts, artifact_kinds, findings_capped, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, audit_chain_heads,
+        rtf_texts, rule_matches, rule_counts, builtin_rule_counts, artifact_kinds, findings_capped, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, audit_chain_heads,
         event_gaps, doc_ids, tlsh_similar, keyword_fallback, stream_event_counts,
     ]
     return {f.__name__: f for f in own} | byte_queries.queries() | {f"ioc_{k}_findings": _ioc(k) for k in ("email", "ipv4", "phone")} | {f"ioc_{k}_values": _values(k) for k in ("url", "ipv6", "mac", "btc", "onion", "cc")}
@@ -386,6 +391,17 @@ def _values_sql(kind: str, values: str) -> str:
         from (select evidence_id, id, unnest({values.replace("text", "value")}) as value from findings) group by all"""
 
 
+_CYCLE = "least(abs({a} - {b}), {n} - abs({a} - {b}))"
+_LENGTH = _CYCLE.format(a="(16 * x[4] + x[3])", b="(16 * y[4] + y[3])", n=256)
+_QUARTILE = [_CYCLE.format(a=f"x[{i}]", b=f"y[{i}]", n=16) for i in (5, 6)]
+_CODE = "(case when abs({a} - {b}) = 3 then 6 else abs({a} - {b}) end)"
+#: The published digest distance over lists x and y of 70 hex digits.
+_TLSH = (
+    f"(case when {_LENGTH} <= 1 then {_LENGTH} else 12 * {_LENGTH} end) + " + " + ".join(f"(case when {q} <= 1 then {q} else 12 * ({q} - 1) end)" for q in _QUARTILE)
+    + " + (case when x[1] <> y[1] or x[2] <> y[2] then 1 else 0 end) + list_sum(list_transform(range(7, 71), lambda i: " + _CODE.format(a="x[i] // 4", b="y[i] // 4") + " + " + _CODE.format(a="x[i] % 4", b="y[i] % 4") + "))"
+)
+_DIGITS = r"regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"length({_DIGITS}) between 13 and 19 and list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: (case when i % 2 = 0 then (2 * cast({_DIGITS}[-i] as int)) // 10 + (2 * cast({_DIGITS}[-i] as int)) % 10 else cast({_DIGITS}[-i] as int) end))) % 10 = 0"
 _RUNS = "list_filter(regexp_extract_all(coalesce(text, ''), '{run}'), lambda x: regexp_full_match(x, '{full}'))"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SETS = "(select * from (values (1, 'os-baseline', 0), (2, 'reviewed', 0), (3, '~staging~half', 7)) as t(id, name, n_hashes))"
@@ -404,7 +420,9 @@ _NUMBERS = f"""select distinct image_set, cast({_NUMBER.format(e="f")} as int) a
 
 
 def oracle_sql() -> dict[str, str]:
-    tidy = r"regexp_replace(substring(regexp_replace(regexp_replace(text, '[ \t" + " " + r"]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), 1, 1000000), '^\s+|\s+$', '', 'g')"
+    tidy = r"regexp_replace(regexp_replace(regexp_replace(text, '[ \t" + " " + r"]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    rtf = r"regexp_replace(regexp_replace(regexp_replace('{\rtf1\ansi ' || regexp_replace(text, '[{}\\]', ' ', 'g') || '\par}', '\\''[0-9a-fA-F]{2}', '', 'g'), '\\[a-zA-Z]+-?[0-9]* ?', ' ', 'g'), '[{}\\]', ' ', 'g')"
+    tidy_rtf = tidy.replace("(text,", f"({rtf},")
     words = ", ".join(f"'{w}'" for w in sorted(WORDS.split()))
     return byte_queries.oracle_sql() | {
         "p1_found": P1_FOUND,
@@ -433,7 +451,8 @@ def oracle_sql() -> dict[str, str]:
         "sha256_prefix_search": f"select id, path, sha256 from files where starts_with(sha256, '{PREFIX}')",
         "name_substring_search": rf"""select id, path from files where contains(lower(path), '{NAME_PART}')
             or len(list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) < 40 and contains(t, '{NAME_PART}'))) > 0""",
-        "regex_path_search": rf"select id, path from files where regexp_matches(path, '{PATH_PATTERN}')",
+        "regex_path_search": rf"""select id, path from files where regexp_matches(path, '{PATH_PATTERN}')
+            or len(list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '' and strlen(t) < 40 and regexp_matches(t, '(?i){PATH_PATTERN}'))) > 0""",
         "search_union": """select hit_id, evidence_uuid, path, name, score from (
             select *, 0 as part from hits where contains(name, 'report') union all select *, 1 from hits where contains(path, 'report'))
             qualify row_number() over (partition by evidence_uuid, path, name order by part, hit_id) = 1""",
@@ -465,6 +484,20 @@ def oracle_sql() -> dict[str, str]:
         "origin_counts": f"select {_ORIGIN} as origin, count(*) as documents from documents group by 1",
         "csv_safe_export": r"select id, case when regexp_matches(value, '^[=+\-@\t\r]') then '''' || value else value end as value, '0x' || lower(to_hex(first_offset)) as offset_hex from findings",
         "document_hashes": "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents",
+        "rtf_texts": rf"select doc_id, md5({tidy_rtf}) as digest from documents where text is not null union all select doc_id, null from documents where text is null",
+        "file_sizes": "select id, case when coalesce(size_bytes, 0) <= 0 then '' " + " ".join(
+            f"when size_bytes < {1024 ** (k + 1)} then " + (f"printf('%.2f {u}', floor(size_bytes / {1024 ** k}::double * 100 + 0.5) / 100)" if k else "printf('%d B', size_bytes)") for k, u in enumerate(("B", "KB", "MB", "GB", "TB"))
+        ) + " end as size from files",
+        "keyword_fallback": f"""with t as (select evidence_uuid as evidence, doc_id as doc, {_TERMS} as terms from documents), s as (select evidence, count(*) as n, avg(len(terms)) as avgdl from t group by 1),
+            u as (select evidence, doc, len(terms) as dl, unnest(terms) as term from t), w as (select case when exists (select 1 from u where term in ('img', 'walk')) then ['img', 'walk'] else ['imgwalk'] end as words),
+            h as (select evidence, doc, dl, term, count(*) as tf from u where list_contains((select words from w), term) group by all), f as (select evidence, term, count(*) as df from h group by all)
+            select evidence, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) as score
+            from h join f using (evidence, term) join s using (evidence) group by evidence, doc order by score desc, doc limit 50""",
+        "tlsh_similar": rf"""with f as (select id, path, upper(regexp_replace(tlsh, '^T1', '', 'i')) as t from files where regexp_full_match(upper(tlsh), '(T1)?[0-9A-F]{{70}}')),
+            v as (select id, path, list_transform(range(1, 71), lambda i: instr('0123456789ABCDEF', substr(t, i, 1)) - 1) as x from f), q as (select x as y from v where id = (select min(id) from files where tlsh is not null)),
+            d as (select id, path, cast({_TLSH} as int) as distance from v, q) select id, path, distance from d where distance <= 250 order by distance, id limit 300""",
+        "ioc_cc_values": rf"""select evidence_id, 'ioc' as kind, 'cc' as subtype, value, count(*) as count, min(id) as first_offset from (
+            select evidence_id, id, unnest(list_filter(regexp_extract_all(coalesce(value, ''), '(?:^|[^0-9A-Za-z])([0-9][0-9 \-]{{11,21}}[0-9])(?:[^0-9A-Za-z]|$)', 1), lambda v: {_LUHN})) as value from findings) group by all""",
         "tidy_documents": f"select doc_id, length({tidy}) as characters from documents",
         "token_counts": f"select doc_id, cast(len({_TERMS}) as int) as terms from documents",
         "rule_matches": r"""select doc_id, 'Long_Hash_Mention' as rule, 'hashes' as category from documents where regexp_matches(text, 'hash begins with [0-9a-f]{12}') or contains(lower(text), 'carvex')
@@ -476,8 +509,8 @@ def oracle_sql() -> dict[str, str]:
             when low in ('ntuser.dat', 'usrclass.dat', 'system', 'software', 'sam', 'security', 'default', 'components', 'drivers', 'bcd') then 'registry' when ext in ('pst', 'ost', 'pab') then 'pst'
             when ext in ('edb', 'ese') then 'esedb' when ext in ('db', 'sqlite', 'sqlite3', 'db3') then 'sqlcipher' when contains(low, 'quarantine') and ext in ('', 'dat') then 'defender_quarantine' else '' end as kind,
             count(*) as files, cast(sum(size_bytes) as bigint) as bytes from f group by 1""",
-        "findings_capped": """with k as (select * from findings order by id, evidence_id, first_offset limit 5000)
-            select (select count(*) from findings) > 5000 as truncated, cast((select coalesce(sum(count), 0) from findings) - (select coalesce(sum(count), 0) from k) as bigint) as dropped""",
+        "findings_capped": """with k as (select id, evidence_id, first_offset, count from findings order by id, evidence_id, first_offset nulls first limit 5000)
+            select k.*, (select count(*) from findings) > 5000 as truncated, cast((select coalesce(sum(count), 0) from findings) - (select coalesce(sum(count), 0) from k) as bigint) as dropped from k""",
         "header_dates": r"""with m as (select meta_id, trim(coalesce(value, '')) as v, try_cast(trim(value) as bigint) as n, regexp_split_to_array(trim(value), '\s+') as p from case_metadata where metadata_field in ('AcquiredDate', 'SystemDate')),
             s as (select *, case when length(v) = 13 then n // 1000 else n end as s from m)
             select meta_id, case when regexp_full_match(v, '\d{1,18}') and s > 0 and s < 4102444800 then strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') || ' UTC'
@@ -500,6 +533,6 @@ def oracle_sql() -> dict[str, str]:
             c as (select user_id, 0 as n, repeat('0', 64) as h from (select distinct user_id from events) union all select c.user_id, r.n, sha256(r.t || '|' || c.h) from c join r on r.user_id = c.user_id and r.n = c.n + 1)
             select user_id, max(n) as entries, max_by(h, n) as head from c group by 1""",
         "stream_event_counts": """with w as (select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, event_type, count(*) as n, sum(value) as total from events group by 1, 2)
-            select start_s, event_type, n, round(total, 6) as total from w where start_s + 7200 <= (select epoch(max(ts)) from events)""",
+            select start_s, event_type, n, round(total, 6) as total from w""",
         "event_gaps": "select event_id, user_id, lag(event_id, 1, 0) over w as previous_id, row_number() over w as place from events window w as (partition by user_id order by event_id)",
     }
