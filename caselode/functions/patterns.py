@@ -23,6 +23,8 @@ PATTERNS = {
     "domain": r"(?<![A-Za-z0-9.\-])(?:[A-Za-z0-9\-]{1,63}\.)+(?:com|net|org|info|biz|gov|edu|mil|io|co|ru|cn|uk|de|fr|jp|in|us|xyz|top|onion|live|app|dev|me)(?![A-Za-z0-9.\-])",
 }
 KINDS = tuple(PATTERNS)
+#: What every pattern's match holds: a text without it needs none of them.
+ANY = r"@|://|[A-Za-z0-9]{14}|[0-9A-Fa-f]:[0-9A-Fa-f]|\d[ \-()]{0,20}[\d.]|\.[a-z]{2}"
 
 
 def luhn(value: Column) -> Column:
@@ -54,4 +56,4 @@ def indicators(df: DataFrame, text: str, *keep: str, kinds: tuple[str, ...] = KI
     """
     cut = (lambda a: F.slice(a, 1, most)) if most else (lambda a: a)
     per = F.array(*[F.struct(F.lit(k).alias("kind"), cut(matches(F.col(f"`{text}`"), k)).alias("found")) for k in kinds])
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(per).alias("h")).select(*keep, "h.kind", F.explode("h.found").alias("value"))
+    return df.where(F.col(f"`{text}`").rlike(ANY)).select(*[F.col(f"`{c}`") for c in keep], F.explode(per).alias("h")).select(*keep, "h.kind", F.explode("h.found").alias("value"))

@@ -44,14 +44,38 @@ def string_runs(data: bytes, encoding: str, least: int = MIN_RUN) -> Iterator[tu
         unit = byte + rb"\x00" if encoding.endswith("le") else rb"\x00" + byte
         for m in re.finditer(b"(?:" + unit + b"){%d,}" % least, data):
             yield m.start(), m.end(), m[0].replace(b"\x00", b"").decode("ascii")
+    elif encoding in _UNITS:  # told by bytes alone; what only looks so is decoded
+        for m in re.finditer(_UNITS[encoding] + b"{%d,}" % least, data):
+            if m[0].isascii():
+                continue
+            try:
+                text = m[0].decode(encoding)
+            except UnicodeDecodeError:
+                text = "\ufffd"
+            if "\ufffd" in text:
+                yield from ((m.start() + a, m.start() + b, t) for a, b, t in decoded_runs(m[0], encoding, least))
+            else:
+                yield m.start(), m.end(), text
     else:
-        text, seen, at = data.decode(encoding, "caselode.bytes"), 0, 0
-        for m in re.finditer(r"[^\x00-\x08\x0b-\x1f\x7f\ufffd\ud800-\udfff]{%d,}" % least, text):
-            if not m[0].isascii():
-                at += _bytes(text[seen : m.start()], encoding)
-                end = at + _bytes(m[0], encoding)
-                yield at, end, m[0]
-                seen, at = m.end(), end
+        yield from decoded_runs(data, encoding, least)
+
+
+#: Bytes of one character of encodings that bytes alone tell.
+_UNITS = {
+    "utf-8": rb"(?:[\x09\x0a\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})",
+    "cp1252": rb"[\x09\x0a\x20-\x7e\x80\x82-\x8c\x8e\x91-\x9c\x9e-\xff]",
+}
+
+
+def decoded_runs(data: bytes, encoding: str, least: int = MIN_RUN) -> Iterator[tuple[int, int, str]]:
+    """Printable runs with a character beyond ASCII of the decoded bytes, with the bytes that they took."""
+    text, seen, at = data.decode(encoding, "caselode.bytes"), 0, 0
+    for m in re.finditer(r"[^\x00-\x08\x0b-\x1f\x7f\ufffd\ud800-\udfff]{%d,}" % least, text):
+        if not m[0].isascii():
+            at += _bytes(text[seen : m.start()], encoding)
+            end = at + _bytes(m[0], encoding)
+            yield at, end, m[0]
+            seen, at = m.end(), end
 
 
 def _bytes(text: str, encoding: str) -> int:
@@ -224,7 +248,7 @@ def carve_bytes(data: bytes | _Growing, body: int, kinds: tuple[str, ...] | None
         last, seen = feet.get(sig.kind, (-1, 0))
         if last < m.end():
             last = data.find(sig.footer, max(m.end(), seen - len(sig.footer) + 1), at + sig.largest)
-            feet[sig.kind] = last, at + sig.largest
+            feet[sig.kind] = last, (last if last >= 0 else at + sig.largest)
         size = last + len(sig.footer) - at
         if last >= 0 and LEAST_SIZE <= size <= sig.largest:
             out.append((sig.kind, at, size, True))

@@ -1,6 +1,7 @@
 """Byte-level sources and operators on files made here."""
 
 import io
+import random
 import sqlite3
 import struct
 import zipfile
@@ -60,6 +61,8 @@ def test_what_the_end_cuts_is_not_complete(spark, tmp_path):
     path.write_bytes(b"BM" + struct.pack("<IIII", 40_000_000, 0, 54, 40) + b"\x04" * 1000 + b"%PDF-1." + b"x" * 600)
     got = [(r["kind"], r["complete"], r["sha256"]) for r in raw.carve_image(spark, str(path), 64).collect()]
     assert got == [("bmp", False, None)]  # no digest of half a file; a header whose footer never comes is no file
+    many = b"".join(b"%PDF-1." + bytes([65 + k]) * 600 + b"%%EOF" + b"\1" * k for k in range(20))
+    assert [(k, n) for k, _, n, _ in raw.carve_bytes(many, len(many))] == [("pdf", 612)] * 20  # each ends at its own footer
     page = spark.createDataFrame([("i", 0, 16, b"%PDF-1." + b"x" * 600)], "image string, page_offset bigint, body_length int, data binary")
     assert [tuple(r) for r in raw.carve_pages(page).select("kind", "size", "complete").collect()] == [("pdf", 607, False)]
 
@@ -79,6 +82,15 @@ def test_long_runs_and_one_pass(spark, tmp_path):
     assert both.where("what = 'string'").count() == raw.page_strings(pages).count()
 
 
+def test_runs_by_bytes_are_those_of_the_decoded_text():
+    rng = random.Random(3)
+    pieces = ["größe".encode(), "日本語です".encode(), b"\xe0\x80\x80", b"\xef\xbf\xbd", b"\xed\xa0\x80", b"\xff\xfe", b"plain text", b"\x00", b"\x81\x8d", b"\xc2\x85", b"\n\t", "ÄÖÜ".encode("cp1252"), b"\xf4\x90\x80\x80"]
+    for _ in range(400):
+        data = b"".join(rng.choice([*pieces, rng.randbytes(5)]) for _ in range(rng.randint(1, 12)))
+        for encoding in ("utf-8", "cp1252"):
+            assert list(raw.string_runs(data, encoding)) == list(raw.decoded_runs(data, encoding))
+
+
 def test_page_text(spark):
     data = b"first run of text\0" + b"second run here\1" + "wide one".encode("utf-16-le")
     page = spark.createDataFrame([("i", 0, len(data), data), ("j", 0, 0, None)], "image string, page_offset bigint, body_length int, data binary")
