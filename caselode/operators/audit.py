@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections.abc import Iterator
 from threading import Lock
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,37 @@ def append(spark: SparkSession, path: str, action: str, payload: dict, actor: st
 
 
 def chain(entries: DataFrame, by: str, order: str, parts: list[str]) -> DataFrame:
-    """``by``, entries, head: the hash over each group's entries in ``order``. Groups must be bounded (an actor's entries in one case)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]).alias("t"))))
-    fold = F.aggregate(rows, F.lit(GENESIS), lambda h, x: F.sha2(F.concat_ws("|", x["t"], h), 256))
-    return entries.groupBy(by).agg(F.count(F.lit(1)).alias("entries"), fold.alias("head"))
+    """``by``, entries, head: the hash over each group's entries in ``order`` (ties by the entries' text).
+
+    Every hash needs the one before, so a group is folded one entry after the other; the entries stream
+    by in order, sorted with spilling, and only the running hash is held, however large a group is.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+    rows = entries.select(F.col(by).alias("k"), F.col(order).alias("o"), text.alias("t")).repartition("k").sortWithinPartitions("k", "o", "t")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, head = None, 0, GENESIS
+        for batch in batches:
+            keys, counts, heads = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if n and k != last:
+                    keys.append(last)
+                    counts.append(n)
+                    heads.append(head)
+                    n, head = 0, GENESIS
+                last, n, head = k, n + 1, hashlib.sha256(f"{t}|{head}".encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(counts, pa.int64()), pa.array(heads, pa.string())], names=["k", "entries", "head"])
+            kind = batch.schema.field(0).type
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([n], pa.int64()), pa.array([head])], names=["k", "entries", "head"])
+
+    key = entries.schema[by].dataType.simpleString()
+    return rows.mapInArrow(fold, f"k {key}, entries bigint, head string").withColumnRenamed("k", by)
+
+
+def latest(log: DataFrame, k: int = 500, order: str = "id") -> DataFrame:
+    """The k newest entries (a list's limit), newest first."""
+    return log.orderBy(F.desc(order)).limit(k)
 
 
 def verify(log: DataFrame) -> DataFrame:

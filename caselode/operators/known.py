@@ -63,6 +63,12 @@ def label_files(files: DataFrame, known_hash: DataFrame, hash_set: DataFrame) ->
     return out.withColumn("label", label).select(*[F.col(f"`{c}`") for c in files.columns], "label")
 
 
+def hide_known_counted(hits: DataFrame, known_paths: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What hide_known shows, and one row with the number of hits that it hides: a filtered list is never taken for the whole."""
+    hidden = hits.join(known_paths.select(*keys).distinct(), keys, "left_semi")
+    return hide_known(hits, known_paths, keys), hidden.agg(F.count(F.lit(1)).alias("hidden"))
+
+
 def hide_known(hits: DataFrame, known_paths: DataFrame, keys: list[str]) -> DataFrame:
     """Hits whose container is not a known file; ``known_paths`` has the keys."""
     return hits.join(known_paths.select(*keys).distinct(), keys, "left_anti")

@@ -35,15 +35,34 @@ class HashPolicy:
         return out if set(out.algorithms()) <= set(ALGORITHMS) else cls()
 
 
-def text_report(segments: DataFrame, summary: DataFrame, title: str) -> str:
-    """A plain report of image sets: deterministic, a line for each segment. Both tables are small (segments of one case)."""
-    lines = [title, "=" * len(title), ""]
-    rows = {}
-    for r in segments.select("image_set", "path", "number", "family", "status", "notes").orderBy("image_set", "number", "path").toLocalIterator():
-        rows.setdefault(r["image_set"], []).append(r)
+WIDTH = 78
+
+
+def _field(name: str, value: object) -> str:
+    return f"  {name:<24} {'(none)' if value in (None, '') else value}"
+
+
+def text_report(segments: DataFrame, summary: DataFrame, title: str, case: dict[str, str] | None = None, metadata: DataFrame | None = None, missing: DataFrame | None = None, notes: str = "", generated: str = "") -> str:
+    """A plain report of image sets: the case, then for each set its summary, header fields, segments and faults.
+
+    Deterministic: the time is given as text. case: names and values. metadata: image_set, field, value.
+    missing: image_set, number, extension. All tables are small (segments of one case); they come in order, row by row.
+    """
+    by_set: dict[str, dict[str, list[str]]] = {}
+
+    def collect(part: str, df: DataFrame | None, order: list[str], line) -> None:
+        for r in df.orderBy("image_set", *order).toLocalIterator() if df is not None else ():
+            by_set.setdefault(r["image_set"], {}).setdefault(part, []).append(line(r))
+
+    collect("Header fields", metadata, ["field", "value"], lambda r: _field(r["field"], r["value"]))
+    collect("Segments", segments, ["number", "path"], lambda r: f"  {r['path'].rsplit('/', 1)[-1]:<24} {r['family']:<8} {r['status']:<4} {'; '.join(r['notes'])}".rstrip())
+    collect("Missing segments", missing, ["number"], lambda r: f"  {r['number']:<4} {r['extension']}")
+    lines = [title, "=" * WIDTH, *(_field(k, v) for k, v in (case or {}).items()), *([_field("Generated", generated)] if generated else [])]
+    lines += ["", "Notes", *(f"  {x}" for x in notes.splitlines())] if notes else []
     for s in summary.orderBy("image_set").toLocalIterator():
         verdict = "COMPLETE" if s["complete"] else "INCOMPLETE"
-        lines.append(f"{s['image_set']}: {verdict}, {s['segments']} segments, {s['bad']} bad, {s['missing']} missing")
-        lines += [f"  {r['path'].rsplit('/', 1)[-1]:<24} {r['family']:<8} {r['status']:<4} {'; '.join(r['notes'])}".rstrip() for r in rows.get(s["image_set"], [])]
-        lines.append("")
-    return "\n".join(lines)
+        lines += ["", "-" * WIDTH, f"{s['image_set']}: {verdict}, {s['segments']} segments, {s['bad']} bad, {s['missing']} missing"]
+        for part in ("Header fields", "Segments", "Missing segments"):
+            if rows := by_set.get(s["image_set"], {}).get(part):
+                lines += ["", part, *rows]
+    return "\n".join([*lines, ""])

@@ -104,7 +104,7 @@ def evidence_volumes(spark, d):
     mark = F.when(i % 5 == 0, F.hex(F.lit("-FVE-FS-"))).otherwise(F.hex(F.lit("NTFS    ")))
     head = F.concat(boot, zeros(((first - 1) * 512).cast("int")), F.lit("EB5290"), mark, zeros(F.lit(501)))
     images = table(spark, d, "evidence").select(i.cast("string").alias("image"), F.lit(64 << 20).cast("bigint").alias("size_bytes"), F.unhex(head).alias("head"))
-    return volumes.volumes_in(spread(images)).select(F.col("image").cast("bigint").alias("id"), "volume_offset", "size_bytes", "volume_label", "kind", "encryption", "file_system")
+    return volumes.volumes_in(spread(images)).select(F.col("image").cast("bigint").alias("id"), "volume_offset", "size_bytes", "volume_label", "kind", "encryption", "file_system", "has_snapshots")
 
 
 def volume_placeholders(spark, d):
@@ -220,7 +220,7 @@ _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}
 def oracle_sql() -> dict[str, str]:
     runs = f"select doc_id, unnest({_RUN.format(t='text')}) as run from documents"
     volumes_sql = f"""select id, cast({_STARTS} * 512 as bigint) as volume_offset, cast((100 + id) * 512 as bigint) as size_bytes, 'vol1' as volume_label, 'mbr' as kind, case when id % 5 = 0 then 'bitlocker' else '' end as encryption,
-        case when id % 5 = 0 then '' else 'ntfs' end as file_system from evidence union all select id, 20000 * 512, 500 * 512, 'vol2', 'mbr', '', '' from evidence where id % 2 = 0"""
+        case when id % 5 = 0 then '' else 'ntfs' end as file_system, false as has_snapshots from evidence union all select id, 20000 * 512, 500 * 512, 'vol2', 'mbr', '', '', false from evidence where id % 2 = 0"""
     blank = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}\x{85}\x{2028}\x{2029}]+"
     plain = r"regexp_replace(text, '[<>&{}\\]', ' ', 'g')"
     return {

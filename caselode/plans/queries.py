@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.functions import extract, patterns, scalars
+from caselode.operators import ingest as ingest_ops
 from caselode.operators import audit, findings, instants, known, provenance, rules, search, snapshots
 from caselode.plans import byte_queries
 from caselode.plans.instants_sql import P1_FOUND
@@ -199,6 +200,30 @@ def hide_known(spark, d):
     return known.hide_known(hits, marked, ["evidence_uuid", "container"]).select("hit_id", "evidence_uuid", "path")
 
 
+def hidden_known(spark, d):
+    """How many hits the known-file filter shows and hides."""
+    ev = table(spark, d, "evidence").select(F.col("id").alias("evidence_id"), "evidence_uuid")
+    marked = table(spark, d, "files").where("known_set is not null").join(ev, "evidence_id").select("evidence_uuid", F.col("path").alias("container"))
+    hits = table(spark, d, "hits").select("hit_id", "evidence_uuid", scalars.container_of(F.col("path")).alias("container"))
+    shown, hidden = known.hide_known_counted(hits, marked, ["evidence_uuid", "container"])
+    return shown.agg(F.count(F.lit(1)).alias("shown")).crossJoin(hidden)  # one row each
+
+
+def ingest_eligibility(spark, d):
+    """Files by what is done with them, if a megabyte of each was read."""
+    f = table(spark, d, "files").select("name", "size_bytes", F.when(F.col("size_bytes").isNotNull(), F.least("size_bytes", F.lit(1 << 20))).alias("read_bytes"), F.col("is_allocated").alias("is_regular"))
+    return ingest_ops.eligibility(f).groupBy("kind", "hash_it", "extract_it").agg(F.count(F.lit(1)).alias("files"))
+
+
+def ingest_kinds(spark, d):
+    return ingest_ops.stats(table(spark, d, "files"))
+
+
+def audit_latest(spark, d):
+    """The 500 newest entries of a log (a list's limit)."""
+    return audit.latest(table(spark, d, "events").select("event_id", "user_id", "event_type"), 500, "event_id")
+
+
 def hit_evidence(spark, d):
     """Hits by image file name."""
     ev = table(spark, d, "evidence").select("evidence_uuid", F.element_at(F.split("path", "/"), -1).alias("image"))
@@ -375,7 +400,7 @@ def queries() -> dict:
         p1_found, ioc_all_kinds, findings_summary, findings_top, findings_filter, findings_count, findings_dedup, indicator_rollup, carved_top, carved_search, known_counts, hashset_dedup,
         orphan_hashes, orphan_sweep, set_totals, known_label, sha256_prefix_search, name_substring_search, regex_path_search, search_union, hits_best, path_lookup, snapshot_dedup, snapshot_stats,
         keyword_search, term_stats, hide_known, hit_evidence, hit_items, container_items, item_meta, provenance_describe, origin_counts, csv_safe_export, document_hashes, tidy_documents, token_counts,
-        rtf_texts, rule_matches, rule_counts, builtin_rule_counts, artifact_kinds, findings_capped, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, audit_chain_heads,
+        rtf_texts, rule_matches, rule_counts, builtin_rule_counts, artifact_kinds, findings_capped, header_dates, file_sizes, safe_names, hash_types, segment_numbers, segment_gaps, metadata_pivot, evidence_formats, ingest_stats, ingest_eligibility, ingest_kinds, hidden_known, audit_latest, audit_chain_heads,
         event_gaps, doc_ids, tlsh_similar, keyword_fallback, stream_event_counts,
     ]
     return {f.__name__: f for f in own} | byte_queries.queries() | {f"ioc_{k}_findings": _ioc(k) for k in ("email", "ipv4", "phone")} | {f"ioc_{k}_values": _values(k) for k in ("url", "ipv6", "mac", "btc", "onion", "cc")}
@@ -391,6 +416,10 @@ def _values_sql(kind: str, values: str) -> str:
         from (select evidence_id, id, unnest({values.replace("text", "value")}) as value from findings) group by all"""
 
 
+_KIND = """select *, case when ext in ('crypt12', 'crypt14', 'crypt15') then 'whatsapp_encrypted' when ext in ('mem', 'vmem', 'raw', 'lime', 'dmp', 'core') then 'memory' when ext in ('pcap', 'pcapng', 'cap') then 'pcap'
+    when low in ('ntuser.dat', 'usrclass.dat', 'system', 'software', 'sam', 'security', 'default', 'components', 'drivers', 'bcd') then 'registry' when ext in ('pst', 'ost', 'pab') then 'pst' when ext in ('edb', 'ese') then 'esedb'
+    when ext in ('db', 'sqlite', 'sqlite3', 'db3') then 'sqlcipher' when contains(low, 'quarantine') and ext in ('', 'dat') then 'defender_quarantine' else '' end as kind
+    from (select *, lower(coalesce(name, '')) as low, case when contains(name, '.') then regexp_extract(lower(name), '[^.]*$') else '' end as ext from files)"""
 _CYCLE = "least(abs({a} - {b}), {n} - abs({a} - {b}))"
 _LENGTH = _CYCLE.format(a="(16 * x[4] + x[3])", b="(16 * y[4] + y[3])", n=256)
 _QUARTILE = [_CYCLE.format(a=f"x[{i}]", b=f"y[{i}]", n=16) for i in (5, 6)]
@@ -504,6 +533,12 @@ def oracle_sql() -> dict[str, str]:
             union all select doc_id, 'Two_Tools', 'tools' from documents where contains(text, 'hivedump')::int + contains(text, 'imgwalk')::int + contains(text, 'snaplist')::int >= 2 and not contains(text, 'hivedump')""",
         "rule_counts": r"""select rule, source, count(*) as count from (select source, 'Long_Hash_Mention' as rule from documents where regexp_matches(text, 'hash begins with [0-9a-f]{12}') or contains(lower(text), 'carvex')
             union all select source, 'Two_Tools' from documents where contains(text, 'hivedump')::int + contains(text, 'imgwalk')::int + contains(text, 'snaplist')::int >= 2 and not contains(text, 'hivedump')) group by all""",
+        "hidden_known": """with k as (select distinct e.evidence_uuid, f.path from files f join evidence e on e.id = f.evidence_id where f.known_set is not null), h as (select hit_id, k.path is not null as hidden from hits h
+            left join k on k.evidence_uuid = h.evidence_uuid and k.path = split_part(h.path, '#', 1)) select count(*) filter (not hidden) as shown, count(*) filter (hidden) as hidden from h""",
+        "ingest_eligibility": f"""with k as ({_KIND}) select kind, coalesce(is_allocated, false) and coalesce(size_bytes, 0) > 0 and size_bytes <= 1048576 as hash_it,
+            coalesce(is_allocated, false) and coalesce(size_bytes, 0) > 0 and kind = '' and not (low like '%-wal' or low like '%-shm') as extract_it, count(*) as files from k group by all""",
+        "ingest_kinds": f"""with k as ({_KIND}) select evidence_id, kind, count(*) as files, count(sha256) as hashed, count(known_set) as known, count(*) - count(sha256) as skipped, round(100.0 * count(known_set) / count(*), 2) as known_percent from k group by all""",
+        "audit_latest": "select event_id, user_id, event_type from events order by event_id desc limit 500",
         "artifact_kinds": """with f as (select lower(name) as low, case when contains(lower(name), '.') then regexp_extract(lower(name), '[^.]*$') else '' end as ext, size_bytes from files)
             select case when ext in ('crypt12', 'crypt14', 'crypt15') then 'whatsapp_encrypted' when ext in ('mem', 'vmem', 'raw', 'lime', 'dmp', 'core') then 'memory' when ext in ('pcap', 'pcapng', 'cap') then 'pcap'
             when low in ('ntuser.dat', 'usrclass.dat', 'system', 'software', 'sam', 'security', 'default', 'components', 'drivers', 'bcd') then 'registry' when ext in ('pst', 'ost', 'pab') then 'pst'

@@ -8,6 +8,7 @@ import json
 import os
 import re
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -25,6 +26,14 @@ from caselode.sources.ranges import open_range
 OWN_FILES = ("manifest.json", "manifest.sig")
 
 
+EVIDENCE = "id bigint, evidence_uuid string, path string, format string, size_bytes bigint, acquired_md5 string, acquired_sha256 string, notes string, added_at double"
+FILES = (
+    "id bigint, evidence_id bigint, inode bigint, path string, name string, size_bytes bigint, mtime double, atime double, ctime double, crtime double, md5 string, sha256 string, tlsh string, "
+    "is_allocated boolean, ads_name string, vss_snapshot_id string, volume_offset bigint, volume_label string, fs_backend string, data_offset bigint, known_set string"
+)
+FINDINGS = "id bigint, evidence_id bigint, kind string, subtype string, value string, count bigint, first_offset bigint, added_at double"
+
+
 class Case:
     """Tables under a folder, with an audit log of what was done."""
 
@@ -59,10 +68,28 @@ class Case:
     def add_evidence(self, path: str, fmt: str, size: int | None = None, md5: str | None = None, sha256: str | None = None, notes: str = "") -> str:
         """Registers an evidence item and returns its uuid."""
         key = str(uuid.uuid4())
-        self.append("evidence", self.spark.createDataFrame([(key, path, fmt, size, md5, sha256, notes)], "evidence_uuid string, path string, format string, size_bytes bigint, acquired_md5 string, acquired_sha256 string, notes string"))
+        new = (self.table("evidence").agg(F.max("id")).first()[0] or 0) + 1 if os.path.isdir(self.path("evidence")) else 1
+        self.append("evidence", self.spark.createDataFrame([(new, key, path, fmt, size, md5, sha256, notes, time.time())], EVIDENCE))
         self.log("evidence.add", {"format": fmt, "path": path, "uuid": key})
         return key
 
+    def add_files(self, rows: DataFrame) -> None:
+        """Appends file rows, by evidence item. Columns of the files table that are missing are NULL; others are an error."""
+        self._add("files", rows, FILES)
+
+    def add_findings(self, rows: DataFrame) -> None:
+        """Appends findings, by evidence item."""
+        self._add("findings", rows, FINDINGS)
+
+    def _add(self, table: str, rows: DataFrame, schema: str) -> None:
+        fields = T._parse_datatype_string(schema).fields
+        odd = set(rows.columns) - {f.name for f in fields}
+        if odd or "evidence_id" not in rows.columns:
+            raise ValueError(f"columns {sorted(odd)} are none of {table}'s" if odd else "evidence_id is missing")
+        full = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        self.append(table, full, "evidence_id")
+        self.log(f"{table}.add", {"columns": sorted(rows.columns)})
+
     def append(self, table: str, rows: DataFrame, *partition: str) -> None:
         writer = rows.write.mode("append")
         (writer.partitionBy(*partition) if partition else writer).parquet(self.path(table))

@@ -26,6 +26,11 @@ def write_index(docs: DataFrame, path: str, doc: str, evidence: str, text: str,
     sizes.write.mode(mode).parquet(f"{path}/sizes")
 
 
+def doc_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row: documents and evidence items of the index."""
+    return spark.read.parquet(f"{path}/sizes").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.countDistinct("evidence").alias("items"))
+
+
 def search_index(spark: SparkSession, path: str, query: str, k: int = 50) -> DataFrame:
     """evidence, doc, score: as keyword_search, from the index. An empty query finds nothing."""
     words = query_words(query)

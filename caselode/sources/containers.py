@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselode.functions.extract import extract
+
 #: Fixed value: characters of a part.
 PART_CHARS = 500_000
 #: Bytes of write-ahead logs that are broadcast at most.
@@ -117,7 +119,8 @@ def explode_containers(files: DataFrame, quarantine_key: bytes | None = None) ->
                         out += [(path, kind, *part, "") for part in sqlite_parts(content, wal)]
                     elif kind == "defender_quarantine" and quarantine_key:
                         plain = rc4(quarantine_key, content)
-                        text = "\n".join(m.decode("ascii") for m in re.findall(rb"[\t\x20-\x7e]{6,}", plain))
+                        # the file's own text if an extractor knows it, else its strings
+                        text = extract("", plain)[1] or "\n".join(m.decode("ascii") for m in re.findall(rb"[\t\x20-\x7e]{6,}", plain))
                         out.append((path, kind, "quarantine/decrypted", "decrypted", text, ""))
                     else:
                         out.append((path, kind, "", "", None, f"no library for {UNAVAILABLE[kind]}" if kind in UNAVAILABLE else "identified, not read"))

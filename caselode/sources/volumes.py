@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from caselode.sources.ranges import open_range, size_of
 
 SECTOR = 512
-SCHEMA = "image string, volume_offset bigint, size_bytes bigint, volume_label string, kind string, encryption string, file_system string"
+#: Where a volume with shadow copies bears the mark of their header, and the mark.
+SNAPSHOT_OFFSET = 0x1E00
+SNAPSHOT_MARK = bytes.fromhex("6b87083876c1484eb7ae04046e6cc752")
+SCHEMA = "image string, volume_offset bigint, size_bytes bigint, volume_label string, kind string, encryption string, file_system string, has_snapshots boolean"
 #: Partition types without a file system of their own (empty, extended, protective).
 SKIPPED_TYPES = (0x00, 0x05, 0x0F, 0x85, 0xEE)
 
@@ -94,7 +97,10 @@ def volumes_of(image: str, read, size: int) -> list[tuple]:
     out = []
     for k, (at, length, kind) in enumerate(partitions(read, size), 1):
         head = read(at, 2048)
-        out.append((image, at, min(length, size - at), f"vol{k}", kind, encryption_of(head), file_system_of(head)))
+        locked = encryption_of(head)
+        # an encrypted volume's header is no plain text
+        shadow = not locked and read(at + SNAPSHOT_OFFSET, 16) == SNAPSHOT_MARK
+        out.append((image, at, min(length, size - at), f"vol{k}", kind, locked, file_system_of(head), shadow))
     return out
 
 
@@ -113,8 +119,8 @@ def volumes_in(images: DataFrame) -> DataFrame:
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def scan_volumes(spark: SparkSession, images: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def scan_volumes(spark: SparkSession, images: DataFrame) -> DataFrame:
 
                         rows += volumes_of(path, read, size)
                 except OSError as e:
-                    rows.append((path, 0, None, "", f"error: {e.strerror}", "", ""))
+                    rows.append((path, 0, None, "", f"error: {e.strerror}", "", "", False))
             yield _record(rows)
 
     return images.select("path").mapInArrow(run, SCHEMA)

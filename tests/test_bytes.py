@@ -4,6 +4,7 @@ import io
 import random
 import sqlite3
 import struct
+import time
 import zipfile
 import zlib
 
@@ -216,11 +217,18 @@ def test_case_folder(spark, tmp_path):
     with pytest.raises(FileExistsError):
         case.Case.create(spark, root, "n", "me")
     c.add_evidence("/x.E01", "E01", 5)
+    c.add_evidence("/y.dd", "RAW")
+    assert sorted((r["id"], r["path"]) for r in c.table("evidence").where("added_at > 0").collect()) == [(1, "/x.E01"), (2, "/y.dd")]
+    c.add_files(spark.createDataFrame([(1, 1, "/a"), (2, 2, "/b")], "id bigint, evidence_id bigint, path string"))
+    c.add_findings(spark.createDataFrame([(1, 1, "ioc", "v")], "id bigint, evidence_id bigint, kind string, value string"))
+    with pytest.raises(ValueError):
+        c.add_files(spark.createDataFrame([(1, 2)], "evidence_id bigint, odd int"))
+    assert c.table("files").where("evidence_id = 2").first()["path"] == "/b" and c.table("findings").count() == 1
     c.set_config("policy", ["sha256"])
     c.set_config("policy", ["md5"])
     assert c.config("policy") == ["md5"] and c.config("none", 1) == 1
     log = c.table("audit_log").cache()
-    assert log.count() == 4 and audit.verify(log).first()["ok"]
+    assert log.count() == 7 and audit.verify(log).first()["ok"]
     bad = log.withColumn("payload_json", F.when(F.col("id") == 2, "{}").otherwise(F.col("payload_json")))
     assert tuple(audit.verify(bad).first()) == (False, 2, "row_hash")
     assert tuple(audit.verify(log.where("id <> 2")).first()) == (False, 3, "prev_hash")
@@ -239,6 +247,32 @@ def test_case_folder(spark, tmp_path):
     assert "MATCH" in case.receipt(got | {"verdict": "MATCH"}, "/img")
 
 
+def test_progress_and_observation(spark, tmp_path):
+    from caselode.operators import ingest as ops
+    from caselode.streaming import ingest, progress
+
+    listener = progress.Progress()
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        q = ingest.append_batches(ingest.stream_table(spark, str(tmp_path / "in"), "id bigint"), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+        for _ in range(100):
+            state = listener.states.get(str(q.id), {})
+            if state.get("running") is False:
+                break
+            time.sleep(0.1)
+        assert state["rows"] == 5 and state["error"] is None
+    finally:
+        spark.streams.removeListener(listener)
+    assert progress.seconds_left(25, 100, 5) == 15 and progress.seconds_left(0, 100, 5) is None
+    files = spark.createDataFrame([("a.txt", 5, 5, True, "s", None), ("b.db", 9, 4, True, None, "k"), ("c.db-wal", None, 4, True, "s", None), ("d", 5, 5, False, None, None), (None, 0, 0, True, None, None)], "name string, size_bytes bigint, read_bytes bigint, is_regular boolean, sha256 string, known_set string")
+    rows, seen = ops.observed(files)
+    got = {r["name"]: (r["kind"], r["hash_it"], r["extract_it"]) for r in ops.eligibility(rows).collect()}
+    assert got == {"a.txt": ("", True, True), "b.db": ("sqlcipher", False, False), "c.db-wal": ("", True, False), "d": ("", False, False), None: ("", False, False)}
+    assert seen.get == {"files": 5, "hashed": 2, "known": 1, "skipped": 3, "bytes": 19}
+
+
 def test_streaming(spark, tmp_path):
     from caselode.streaming import ingest
 

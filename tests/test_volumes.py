@@ -32,12 +32,13 @@ def test_volumes(spark, tmp_path):
     entry = b"\1" * 16 + b"\2" * 16 + struct.pack("<QQ", 40, 47)
     gpt = b"EFI PART" + b"\0" * 64 + struct.pack("<QII", 2, 4, 128)
     b = write(tmp_path / "b.dd", {0: mbr((0xEE, 1, 100)), 512: gpt, 1024: entry, 40 * 512 + 32: b"NXSB"})
-    c = write(tmp_path / "c.dd", {1080: b"\x53\xef"}, 4096)
+    c = write(tmp_path / "c.dd", {1080: b"\x53\xef", volumes.SNAPSHOT_OFFSET: volumes.SNAPSHOT_MARK}, 1 << 14)
     d = write(tmp_path / "d.dd", {}, 10)
     images = spark.createDataFrame([(p,) for p in (a, b, c, d, str(tmp_path / "gone.dd"))], "path string")
     got = volumes.scan_volumes(spark, images).cache()
     rows = {(r["image"][-4], r["volume_offset"] // 512): (r["kind"], r["encryption"], r["file_system"]) for r in got.collect() if not r["kind"].startswith("error")}
     assert rows == {("a", 4): ("mbr", "", "ntfs"), ("a", 16): ("mbr", "luks", ""), ("a", 34): ("mbr", "", "ntfs"), ("a", 50): ("mbr", "bitlocker", ""), ("b", 40): ("gpt", "", "apfs"), ("c", 0): ("whole", "", "ext"), ("d", 0): ("whole", "", "")}
+    assert [r["image"][-4] for r in got.where("has_snapshots").collect()] == ["c"]
     names = sorted(r["name"] for r in volumes.placeholder_files(got).collect())
     assert names[:2] == ["[encrypted: bitlocker]", "[encrypted: luks]"] and len(names) == 4 and names[2].startswith("[error")
     heads = spark.createDataFrame([(luks,), (bit,), (b"\0" * 88 + b"CS",), (b"",), (None,)], "h binary")
@@ -66,4 +67,8 @@ def test_policy_and_report(spark):
     s = spark.createDataFrame([("a", "/a.E01", 1, "EWF", "OK", []), ("a", "/a.E03", 3, "EWF", "BAD", ["done early"])], "image_set string, path string, number int, family string, status string, notes array<string>")
     t = spark.createDataFrame([("a", 2, 1, 1, False)], "image_set string, segments bigint, bad bigint, missing bigint, complete boolean")
     text = text_report(s, t, "Sets")
+    more = {"metadata": spark.createDataFrame([("a", "Notes", None), ("a", "CaseNumber", "7")], "image_set string, field string, value string"), "missing": spark.createDataFrame([("a", 2, "E02")], "image_set string, number int, extension string")}
+    whole = text_report(s, t, "Sets", {"Examiner": "me"}, notes="one\ntwo", generated="2020", **more)
+    assert whole == text_report(s, t, "Sets", {"Examiner": "me"}, notes="one\ntwo", generated="2020", **more)
+    assert all(x in whole for x in ("Examiner", "  two", "CaseNumber", "(none)", "  2    E02")) and whole.index("CaseNumber") < whole.index("a.E01") < whole.index("E02\n")
     assert "a: INCOMPLETE, 2 segments, 1 bad, 1 missing" in text and "done early" in text
