@@ -15,7 +15,7 @@ from caselode.functions import extract, scalars
 from caselode.operators import known, raw
 from caselode.session import cut, shared_folder, spread
 from caselode.sinks import index
-from caselode.sources import containers, image, segments, volumes
+from caselode.sources import containers, fat, image, segments, volumes
 from caselode.sources.tables import table
 
 #: Bytes of the pages that documents are cut into; the margin is longer than any run in them.
@@ -113,6 +113,44 @@ def volume_placeholders(spark, d):
     return volumes.placeholder_files(found).select(F.col("image").cast("bigint").alias("id"), "volume_offset", "path", "name")
 
 
+def _fat12(content: bytes) -> bytes:
+    """A small FAT volume with the content as its one file, in clusters of 4 KiB whose chain runs backwards."""
+    n = -(-len(content) // 4096)
+    clusters, table = n + 4, [0] * (n + 6)
+    chain = list(range(n + 1, 1, -1))
+    for a, b in zip(chain, [*chain[1:], 0xFFF], strict=False):
+        table[a] = b
+    raw = bytearray(512 * -(-(len(table) * 3 // 2 + 2) // 512))
+    for i, v in enumerate(table):
+        at = i + i // 2
+        old = struct.unpack_from("<H", raw, at)[0]
+        struct.pack_into("<H", raw, at, old & 0x000F | v << 4 if i % 2 else old & 0xF000 | v)
+    boot = bytearray(512)
+    struct.pack_into("<HBHBHHBH", boot, 11, 512, 8, 1, 1, 16, 2 + len(raw) // 512 + 8 * clusters, 0xF8, len(raw) // 512)
+    boot[54:59], boot[510:512] = b"FAT12", b"\x55\xaa"
+    root = struct.pack("<11sB8xHHHHI", b"DOC     TXT", 0x20, 0, 0, (2020 - 1980) << 9 | 1 << 5 | 1, chain[0] if chain else 0, len(content)).ljust(512, b"\0")
+    body = bytearray(4096 * clusters)
+    for k, c in enumerate(chain):
+        part = content[4096 * k : 4096 * (k + 1)]
+        body[4096 * (c - 2) : 4096 * (c - 2) + len(part)] = part
+    return bytes(boot + raw + root + body)
+
+
+def fat_documents(spark, d):
+    """Documents stored in FAT volumes of their own and found by walking them."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                volume = _fat12(text.encode())
+                rows += fat.volume_rows(str(i), 0, "vol1", lambda at, n, v=volume: v[at : at + n])
+            yield fat._record(rows)
+
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return spread(docs).mapInArrow(walk, fat.SCHEMA).select(F.col("image").cast("bigint").alias("doc_id"), "path", "size_bytes", "mtime", "is_allocated", "md5", "sha256", "error")
+
+
 def _segment(number: int, kind: bytes, whole: bool) -> bytes:
     tail = kind.ljust(16, b"\0") + bytes(56)
     return b"EVF\t\r\n\xff\0\1" + struct.pack("<H", number) + bytes(34) + tail + struct.pack("<I", zlib.adler32(tail) ^ (not whole))
@@ -205,7 +243,7 @@ def index_sizes(spark, d):
 
 def queries() -> dict:
     own = [
-        page_strings, page_strings_wide, page_strings_beyond_ascii, page_indicators, page_texts, carved_documents, swept_documents, evidence_volumes, volume_placeholders, segment_sets, container_documents,
+        page_strings, page_strings_wide, page_strings_beyond_ascii, page_indicators, page_texts, carved_documents, swept_documents, evidence_volumes, volume_placeholders, fat_documents, segment_sets, container_documents,
         extracted_texts, image_formats, magic_kinds, hash_list_import, index_search, index_sizes,
     ]
     return {f.__name__: f for f in own}
@@ -236,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "evidence_volumes": volumes_sql,
         "volume_placeholders": f"""select id, volume_offset, '/(' || volume_label || ')' as path, case when encryption <> '' then '[encrypted: ' || encryption || ']' else '[no known file system]' end as name
             from ({volumes_sql}) where encryption <> '' or file_system = ''""",
+        "fat_documents": """select doc_id, '/DOC.TXT' as path, cast(strlen(text) as bigint) as size_bytes, cast(1577836800 as double) as mtime, true as is_allocated, case when text <> '' then md5(text) end as md5, case when text <> '' then sha256(text) end as sha256,
+            null::varchar as error from documents where text is not null""",
         "segment_sets": """select image_set, cast(case when length(image_set) % 3 = 1 then 2 else 3 end as bigint) as segments, cast(case when length(image_set) % 3 = 2 then 1 else 0 end as bigint) as bad, true as has_end,
             cast(case when length(image_set) % 3 = 1 then 1 else 0 end as bigint) as missing, length(image_set) % 3 = 0 as complete from (select distinct image_set from case_metadata where image_set is not null)""",
         "container_documents": "select item_id, 'sqlite' as kind, 'table:t' as subpath, md5(concat_ws(' | ', nullif(subpath, ''), nullif(text, ''))) as digest, '' as error from artifact_items where coalesce(subpath, '') <> '' or coalesce(text, '') <> ''",
