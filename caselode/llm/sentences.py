@@ -80,9 +80,9 @@ DOUBT = 0.5
 STOP, MARK, SURE_MARK, GAPLESS = 0.5, 4.0, 7.0, -3.0
 
 #: A word with its full stop; tried at the beginnings of words only, so that a text takes linear time.
-_DOTTED = re.compile(r"(?<![^\s(（“”„«»\"'‘¿¡\[—–/])([^\s(（“”„«»\"'‘¿¡\[—–/]++)(?<=[^.]\.)(?=(\s+|$)(\S?))")
-_STARTS = re.compile(r"(?:\A|[?!][”\"»)]?\s+)([^\W\d_]{1,24}[’':.]?)")
-_WITHIN = re.compile(r"[^\W\d_],?[ \n]([^\W\d_]{1,24}[’':.]?)")
+_DOTTED = re.compile(r"(?<![^\s(（“”„«»\"'‘¿¡\[—–/])([^\s(（“”„«»\"'‘¿¡\[—–/]++)(?<=[^.]\.)(?=(\s+|$)(\S{0,12}))")
+_STARTS = re.compile(r"(?:\A|[?!][”\"»)]?\s+)([^\W\d_]{1,24}[’':.]?|[“„«¿¡(])")
+_WITHIN = re.compile(r"[^\W\d_],?[ \n]([^\W\d_]{1,24}[’':.]?|[“„«¿¡(])")
 _BLOCKS = re.compile(r"\n[ \t\r]*\n\s*")
 _TERMINATORS = re.compile(r"[.。！？!?؟।．…]+")
 _SCRIPT = re.compile(r"(?P<thai>[\u0e00-\u0e7f])|(?P<east>[\u3040-\u30ff\u3400-\u9fff])|(?P<hangul>[\uac00-\ud7af])|(?P<deva>[\u0900-\u097f])|(?P<arab>[\u0600-\u06ff])|(?P<cyr>[\u0400-\u04ff])|(?P<latin>[A-Za-z\u00c0-\u024f])")
@@ -128,7 +128,9 @@ def count_evidence(texts: list[str]) -> Counter:
                 continue
             script = _script(block)
             # once for each block, so that one that repeats itself has no more say than others
-            closing.update({(END if not after else DIGIT if after.isdigit() else LOWER if after.islower() or after in ",;:" else UPPER, word[:-1], script) for word, _, after in _DOTTED.findall(block)})
+            for word, _, after in set(_DOTTED.findall(block)):
+                if not (word[:-1].isdigit() and MONTHS.match(after)):  # an ordinal says nothing of other numbers
+                    closing[END if not after else DIGIT if after[0].isdigit() else LOWER if after[0].islower() or after[0] in ",;:" else UPPER, word[:-1], script] += 1
             starts.update({(word, script) for word in _STARTS.findall(block)})
             within.update({(word, script) for word in _WITHIN.findall(block)})
             ends = _TERMINATORS.search(block)
@@ -321,7 +323,7 @@ def _score(text: str, m: re.Match, at: int, hi: int, lo: int, ev: Evidence, scri
     return STOP + closing + opening
 
 
-_OPENING = re.compile(r"[^\W\d_]{1,24}[’':.]?")
+_OPENING = re.compile(r"[^\W\d_]{1,24}[’':.]?|[“„«¿¡(]")
 _CAMEL = re.compile(r"[a-z]{1,2}[A-Z]")
 _DASH = re.compile(r"[—–-]+\s*\w")
 _DASH_CAPITAL = re.compile(r"[—–-]+\s*[A-ZА-ЯÀ-Þ]")
