@@ -112,8 +112,9 @@ def test_abbreviations_are_learned():
 
 def test_whole_spans_decide(monkeypatch):
     """Cutting at every boundary of positive score, without the program, is worse where little was counted."""
-    evidence = evidence_of(corpus(20))
-    whole = right(corpus(300, 4), evidence)
+    learned = [evidence_of(corpus(10, seed)) for seed in range(3, 11)]
+    held_out = corpus(100, 40)
+    whole = [right(held_out, e) for e in learned]
 
     def local(text, begin, at, own, cost):
         for k, e in enumerate(at):
@@ -122,7 +123,7 @@ def test_whole_spans_decide(monkeypatch):
                 begin = e
 
     monkeypatch.setattr(module, "best_spans", local)
-    assert whole > right(corpus(300, 4), evidence)
+    assert sum(whole) > sum(right(held_out, e) for e in learned)
 
 
 @given(st.lists(st.tuples(st.integers(1, 30), st.floats(-6, 6)), min_size=1, max_size=9), st.integers(0, 1))
