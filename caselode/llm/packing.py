@@ -30,8 +30,8 @@ from caselode.session import cut
 CLASSES = 48
 #: Sizes up to this share of the capacity are small: any room is filled with them.
 SMALL = 1 / 16
-#: Share of the capacity up to which a pack of the program may stay free; the pieces of others wait.
-LOSS = 0.004
+#: Shares of the capacity up to which a pack of the program may stay free, tried one after the other; the pieces of others wait.
+LOSSES = (0.004, 0.0)
 #: The program stops at this gap between the fillings used and the lower bound, or after ROUNDS uses of a filling.
 GAP = 0.02
 ROUNDS = 20_000
@@ -261,39 +261,48 @@ def plan_packs(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int
 
     sizes: ascending, distinct, from 1 to capacity. counts: items of each size. rounds=0 leaves all to filling largest first.
     """
-    left = counts.astype(np.int64).copy()
-    plan = Plan()
-
-    def use(n: int, filling: dict[int, int]) -> None:
-        plan.packs.append((n, filling))
-        for k, u in filling.items():
-            left[k] -= n * u
-
+    first = counts.astype(np.int64).copy()
     whole = int(np.searchsorted(sizes, capacity))  # full packs need no search
-    if whole < len(sizes) and left[whole]:
-        use(int(left[whole]), {whole: 1})
+    full: list[tuple[int, dict[int, int]]] = []
+    if whole < len(sizes) and first[whole]:
+        full = [(int(first[whole]), {whole: 1})]
+        first[whole] = 0
     small = int(np.searchsorted(sizes, capacity * SMALL, side="right"))
-    big = np.flatnonzero((left > 0) & (np.arange(len(sizes)) >= small))
-    loose = int((sizes[:small] * left[:small]).sum())
+    big = np.flatnonzero((first > 0) & (np.arange(len(sizes)) >= small))
+    loose = int((sizes[:small] * first[:small]).sum())
     if not loose:
         small = 0
+    program, runs = None, []
     if rounds and len(big):
-        runs, mean = _classes(sizes[big], left[big], classes, loose > 0)
+        runs, mean = _classes(sizes[big], first[big], classes, loose > 0)
         runs = [big[r] for r in runs]
-        need = np.array([left[r].sum() for r in runs], np.int64)
+        need = np.array([first[r].sum() for r in runs], np.int64)
         rows = np.append(mean, 1) if loose else mean
         program = solve(rows, np.append(need, loose) if loose else need, capacity, loose > 0, rounds)
-        plan.bound, plan.used = program.bound, float(program.times.sum())
-        _round(plan, program, runs, sizes, left, capacity, small, use)
-        plan.tokens = sum(n * sum(int(sizes[k]) * u for k, u in f.items()) for n, f in plan.packs if whole not in f)
-    while left.any():
-        filling: dict[int, int] = {}
-        _fill(capacity, sizes, left, filling, len(sizes))
-        use(min(int(left[k]) // u for k, u in filling.items()), filling)
-    return plan
+    best, fewest = None, 0
+    for loss in LOSSES if program else LOSSES[:1]:
+        left, plan = first.copy(), Plan(list(full))
 
-
-def _round(plan: Plan, program: Program, runs: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, capacity: int, small: int, use) -> None:
+        def use(n: int, filling: dict[int, int], left=left, plan=plan) -> None:
+            plan.packs.append((n, filling))
+            for k, u in filling.items():
+                left[k] -= n * u
+
+        if program:
+            plan.bound, plan.used = program.bound, float(program.times.sum())
+            _round(program, runs, sizes, left, capacity, small, loss, use)
+            plan.tokens = sum(n * sum(int(sizes[k]) * u for k, u in f.items()) for n, f in plan.packs[len(full) :])
+        while left.any():
+            filling: dict[int, int] = {}
+            _fill(capacity, sizes, left, filling, len(sizes))
+            use(min(int(left[k]) // u for k, u in filling.items()), filling)
+        packs = sum(n for n, _ in plan.packs)
+        if best is None or packs < fewest:
+            best, fewest = plan, packs
+    return best
+
+
+def _round(program: Program, runs: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, capacity: int, small: int, loss: float, use) -> None:
     """Whole numbers of every filling, then one more of those with a fractional rest, with the sizes that their classes hold."""
     queues = [_Queue(r, left) for r in runs]
     whole = np.floor(program.times + 1e-6).astype(np.int64)
@@ -318,7 +327,7 @@ def _round(plan: Plan, program: Program, runs: list[np.ndarray], sizes: np.ndarr
             if not filling:
                 break
             n = min(times, *(int(left[k]) // u for k, u in filling.items()))
-            if capacity - sum(int(sizes[k]) * u for k, u in filling.items()) <= LOSS * capacity:
+            if capacity - sum(int(sizes[k]) * u for k, u in filling.items()) <= loss * capacity:
                 use(n, filling)
             times -= n
             turn += 1
