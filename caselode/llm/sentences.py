@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -95,9 +96,12 @@ def _bucket(word: str, script: int) -> int:
     return script * PART + zlib.crc32(word.encode("utf-8", "surrogatepass")) % PART
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _masked(word: str) -> str:
     """The closing word in lower case, digits alike."""
-    return re.sub(r"\d", "0", word.lower())
+    return word.lower() if word.isalpha() else _DIGIT.sub("0", word.lower())
 
 
 def _slot(length: int) -> int:
@@ -249,6 +253,8 @@ def _depths(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
 def _end(text: str, m: re.Match, lo: int) -> int:
     """Where the closing marks of candidate ``m`` end: “ closes only after „, a straight mark only if one is open."""
     at = m.end("t")
+    if at == m.end():
+        return at
     while at < m.end():
         ch = text[at]
         if ch == "“" and text.rfind("„", lo, at) <= text.rfind("“", lo, at) or ch == '"' and text.count('"', lo, at) % 2 == 0:
@@ -271,7 +277,7 @@ def _score(text: str, m: re.Match, at: int, hi: int, lo: int, ev: Evidence, scri
     camel = first[:1].islower() and _CAMEL.match(first) is not None
     lower = nxt.islower() and not camel
     upper = nxt.isupper()
-    caseless = _caseless(nxt)
+    caseless = not nxt.isascii() and _caseless(nxt)
     hangul = "가" <= nxt <= "힣"
     if nxt in ",;:、，；：،" or nxt in "—–-" and _DASH.match(text, k) and not _DASH_CAPITAL.match(text, k):
         return -9.0
@@ -286,14 +292,14 @@ def _score(text: str, m: re.Match, at: int, hi: int, lo: int, ev: Evidence, scri
     opening = (ev.opening(first, script) if first and not caseless else 0.0) + (ev.small if lower else 0.0)
     if mark.startswith(("..", "…")) and not any(c in _END for c in mark):
         return -9.0 if (lower or caseless or camel) and not closers else SURE_MARK
-    if any(c in "。！？؟।॥｡．" for c in mark):
+    if not mark.isascii() and any(c in "。！？؟।॥｡．" for c in mark):
         return SURE_MARK
     if mark[-1] in "!?" or "?" in mark or "!" in mark:
         return MARK + (min(opening, 1.0) if lower else max(opening, -2.0)) + (0.0 if gap or upper or caseless or nxt in _OPEN + "¿¡\"" else GAPLESS if nxt.isdigit() else 3 * GAPLESS)
     # a full stop
     before = _WORD_BEFORE.search(text, max(lo, m.start() - 40), m.start()) if not closers else None
     w = before[0] if before else ""
-    w = _GLUED.split(w)[-1]  # a missing blank before it
+    w = w if w.isalnum() else _GLUED.split(w)[-1]  # a missing blank before it
     low = _masked(w)
     if not gap:
         if closers:
@@ -363,9 +369,10 @@ def _block(text: str, lo: int, hi: int, ev: Evidence) -> Iterator[tuple[int, int
     own = [ends[e] for e in at]
     pairs = _depths(text, lo, hi)
     if pairs:
-        starts, stops = np.sort([a for a, _ in pairs]), np.sort([b for _, b in pairs])
-        for k in np.flatnonzero(np.searchsorted(starts, at[:-1]) > np.searchsorted(stops, at[:-1])).tolist():
-            own[k] += INSIDE
+        starts, stops = sorted(a for a, _ in pairs), sorted(b for _, b in pairs)
+        for k in range(n - 1):
+            if bisect_left(starts, at[k]) > bisect_left(stops, at[k]):
+                own[k] += INSIDE
     yield from best_spans(text, lo, at, own, ev.costs[script])
 
 
@@ -381,10 +388,12 @@ def best_spans(text: str, begin: int, at: list[int], own: list[float], cost: lis
     edges, marks, letters = [begin, *at], [0], [0]  # straight marks mod 2 and pieces with a letter or digit so far
     firsts = [begin]  # where a span that begins at an edge has its first sign
     for a, e in zip(edges, at):  # noqa: B905
-        m = _SIGN.search(text, e, at[-1])
-        firsts.append(m.start() if m else at[-1])
+        sign = e
+        while sign < at[-1] and text[sign].isspace():
+            sign += 1
+        firsts.append(sign)
         marks.append(marks[-1] + text.count('"', a, e) & 1 if straight else 0)
-        letters.append(letters[-1] + (_ALNUM.search(text, a, e) is not None))
+        letters.append(letters[-1] + (firsts[-2] < e and text[firsts[-2]].isalpha() or _ALNUM.search(text, a, e) is not None))
     flat = SLOTS - 1
     while flat and cost[flat - 1] == cost[-1]:
         flat -= 1
@@ -420,7 +429,6 @@ def best_spans(text: str, begin: int, at: list[int], own: list[float], cost: lis
     yield from reversed(cuts)
 
 
-_SIGN = re.compile(r"\S")
 _SLOT = [_slot(n) for n in range(4096)]
 _LISTS = Evidence()
 
@@ -454,12 +462,11 @@ def sentence_spans(text: str | None, line_units: bool = False, evidence: Evidenc
     out = []
     for a, b, whole in blocks:
         for s, e in [(a, b)] if whole else _block(text, a, b, evidence):
-            while s < e and text[s].isspace():
-                s += 1
-            while e > s and text[e - 1].isspace():
-                e -= 1
-            if s < e:
-                out.append((s, e))
+            piece = text[s:e]
+            bare = piece.strip()
+            if bare:
+                s += len(piece) - len(piece.lstrip())
+                out.append((s, s + len(bare)))
     return out
 
 
