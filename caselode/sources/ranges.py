@@ -13,7 +13,7 @@ def _system(path: str):
 
 
 def local_path(path: str) -> str | None:
-    """The path of a local file, NULL-safe against URIs of other file systems."""
+    """The path of a local file; None for URIs of other file systems."""
     if path.startswith("file:"):
         return path.removeprefix("file:").replace("//", "", 1) if path.startswith("file://") else path.removeprefix("file:")
     return None if "://" in path else path
