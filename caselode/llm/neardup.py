@@ -11,8 +11,9 @@ verified by its exact distance.
 Groups (one image's files) beyond ``SPLIT_GROUP`` rows are split exactly, by the length byte of the
 digest: a difference that the distance allows is at most a few steps, so each row stands at home in one
 cell and as a guest in the next. Cells meet in one task each and band their digests there, so that the
-keys are never shuffled; cells beyond ``LARGE_GROUP`` rows are banded by a join on the table keys, with
-longer keys. Both ways verify candidates alike.
+keys are never shuffled. A cell beyond ``LARGE_GROUP`` rows is dealt into blocks of half that size, and
+every two blocks meet in a task of their own. The hashes, tables and verification are the same for every
+size, so that neither switch changes which pairs are found.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselode.functions.digests import LOW, WORDS, digest_columns, digest_distance
+from caselode.functions.digests import LOW, WORDS, digest_columns
 from caselode.session import cut
 
 POSITIONS = 128
@@ -34,9 +35,8 @@ COLLECTIONS = 32
 SEED = 20
 #: Rows of a group beyond which it is split by length.
 SPLIT_GROUP = 10_000
-#: Rows of a cell up to which it is banded within one task; hashes and collections beyond, as unrelated pairs grow with the square.
+#: Rows of a cell up to which it is banded within one task, and of any two blocks of a larger one.
 LARGE_GROUP = 250_000
-PER_LARGE, COLLECTIONS_LARGE = 4, 40
 #: At most so many cells are broadcast.
 MAX_BROADCAST = 10_000
 #: Rows held by a task at a time, apart from the last cell.
@@ -73,8 +73,8 @@ class MinWise:
             return out
 
 
-def distances(x: np.ndarray, hd: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same distance for index pairs (a, b) of arrays: x of shape (n, 4), uint64; hd of shape (n,)."""
+def _apart(hd: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What checksum, length and quartiles add to the distance."""
 
     def cyclic(p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
         d = np.abs(p - q)
@@ -86,7 +86,12 @@ def distances(x: np.ndarray, hd: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     for shift in (0, 4):
         d = cyclic(ha >> shift & 15, hb >> shift & 15, 16)
         out += np.where(d <= 1, d, (d - 1) * 12)
-    out += ha >> 16 != hb >> 16
+    return out + (ha >> 16 != hb >> 16)
+
+
+def distances(x: np.ndarray, hd: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same distance for index pairs (a, b) of arrays: x of shape (n, 4), uint64; hd of shape (n,)."""
+    out = _apart(hd, a, b)
     low, one = np.uint64(LOW), np.uint64(1)
     xa, xb = x[a], x[b]
     ia, la, ib, lb = xa >> one & low, xa & low, xb >> one & low, xb & low
@@ -102,9 +107,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def banded_pairs(group: np.ndarray, x: np.ndarray, hd: np.ndarray, sha: np.ndarray, most: int, minwise: MinWise, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of one group, not both guests, that share a table key, differ in ``sha`` and lie within ``most``."""
+    """Index pairs of rows of one group that share a table key but no bit of ``guest``, differ in ``sha`` and lie within ``most``."""
     n, found = len(group), [np.zeros(0, np.int64)]
-    guest = np.zeros(n, bool) if guest is None else guest
+    guest = np.zeros(n, np.int32) if guest is None else guest
     with np.errstate(over="ignore"):
         g = _mixed(group.astype(np.uint64) + np.uint64(1))
         parts = minwise.parts(x)
@@ -116,7 +121,9 @@ def banded_pairs(group: np.ndarray, x: np.ndarray, hd: np.ndarray, sha: np.ndarr
             step = 1
             while len(left):
                 a, b = order[left], order[left + step]
-                real = (group[a] == group[b]) & (sha[a] != sha[b]) & ~(guest[a] & guest[b])
+                real = (group[a] == group[b]) & (sha[a] != sha[b]) & (guest[a] & guest[b] == 0)
+                a, b = a[real], b[real]
+                real = _apart(hd, a, b) <= most  # most unrelated candidates end here
                 a, b = a[real], b[real]
                 near = distances(x, hd, a, b) <= most
                 found.append(np.minimum(a, b)[near] * n + np.maximum(a, b)[near])
@@ -129,7 +136,7 @@ def banded_pairs(group: np.ndarray, x: np.ndarray, hd: np.ndarray, sha: np.ndarr
     return codes // max(n, 1), codes % max(n, 1)
 
 
-def _band_small(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _band(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive in order of their cell; whole cells are banded together, about BLOCK rows at a time."""
     minwise = MinWise()
 
@@ -138,7 +145,7 @@ def _band_small(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         _, keep = np.unique(np.rec.fromarrays([c["cell"], c["cid"]]), return_index=True)
         c = {k: v[keep] for k, v in c.items()}
         x = np.stack([c[w] for w in WORDS], axis=1).view(np.uint64)
-        a, b = banded_pairs(c["cell"], x, c["hd"], c["sha"], most, minwise, c["guest"].astype(bool))
+        a, b = banded_pairs(c["cell"], x, c["hd"], c["sha"], most, minwise, c["guest"])
         return pa.RecordBatch.from_arrays([pa.array(c["grp"][a]), pa.array(c["cid"][a]), pa.array(c["cid"][b])], names=["grp", "cid_a", "cid_b"])
 
     held: list[pa.RecordBatch] = []
@@ -156,51 +163,39 @@ def _band_small(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         yield block(pa.Table.from_batches(held))
 
 
-def _band_large(rows: DataFrame, most: int) -> DataFrame:
-    """The same by a join on the table keys, verified inside the join."""
-    once = rows.groupBy("cell", "cid").agg(*[F.first(c).alias(c) for c in (*WORDS, "hd", "sha", "grp", "guest")])
-    names = ["cell", "cid", "grp", "guest", "hd", "sha", *WORDS]
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minwise = MinWise(COLLECTIONS_LARGE, PER_LARGE)
-        for batch in batches:
-            x = np.stack([batch.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
-            parts = np.stack(minwise.parts(x), axis=1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "parts"])
-
-    parts = once.select(*names).mapInArrow(hashed, "cell bigint, cid bigint, grp bigint, guest boolean, hd int, sha bigint, x0 bigint, x1 bigint, x2 bigint, x3 bigint, parts array<bigint>")
-    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(COLLECTIONS_LARGE), 2)])
-    keyed = parts.withColumn("t", F.explode(tables)).select(F.xxhash64("cell", "t", F.get("parts", F.col("t.i")), F.get("parts", F.col("t.j"))).alias("key"), *names)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    side = lambda s: {c: F.col(f"{s}.{c}") for c in (*WORDS, "hd")}
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.sha") != F.col("b.sha"))
-    near = a.join(b, same & ~(F.col("a.guest") & F.col("b.guest")) & (digest_distance(side("a"), side("b")) <= most))
-    return near.select("a.grp", F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
-
-
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast after a count, or as it is."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
 
 def _cells(classes: DataFrame, most: int, split_group: int) -> DataFrame:
-    """Adds cell and guest: a group as a whole, or split by length."""
-    crowded = cut(classes.groupBy("grp").count().where(F.col("count") > split_group).select("grp", F.lit(True).alias("crowded")))
+    """Adds cell and guest, whose rows meet elsewhere if they share a bit: a group as a whole, or split by length."""
     steps = most // 12 if most >= 24 else 1  # of length that the distance allows
     width = 1
     while width <= steps:
         width *= 2
     blocks = 256 // width
+    if blocks < 3:  # a cell would be its own neighbour, or two cells neighbours on both sides
+        return classes.select("*", F.xxhash64("grp").alias("cell"), F.lit(0).alias("guest"))
+    crowded = cut(classes.groupBy("grp").count().where(F.col("count") > split_group).select("grp", F.lit(True).alias("crowded")))
     home = F.shiftright("hd", 8).bitwiseAND(F.lit(255)) / F.lit(width)
     home = F.floor(home).cast("int")
-    places = F.array(F.struct(home.alias("block"), F.lit(False).alias("guest")), F.struct(((home + 1) % blocks).alias("block"), F.lit(True).alias("guest")))
-    whole = F.array(F.struct(F.lit(-1).alias("block"), F.lit(False).alias("guest")))
+    places = F.array(F.struct(home.alias("block"), F.lit(0).alias("guest")), F.struct(((home + 1) % blocks).alias("block"), F.lit(1).alias("guest")))
+    whole = F.array(F.struct(F.lit(-1).alias("block"), F.lit(0).alias("guest")))
     marked = classes.join(_small(crowded), "grp", "left")
     at = marked.withColumn("at", F.explode(F.when(F.col("crowded"), places).otherwise(whole)))
     return at.select("*", F.xxhash64("grp", "at.block").alias("cell"), F.col("at.guest").alias("guest")).drop("at", "crowded")
 
 
+def _met(cells: DataFrame, large: DataFrame) -> DataFrame:
+    """Large cells by pairs of their blocks: each row goes to the cells of its block with every other one. Rows of one block are compared in that with the next only."""
+    once = cells.join(_small(large), "cell").dropDuplicates(["cell", "cid"]).withColumn("block", F.pmod("cid", "blocks"))
+    other = once.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).withColumn("other", (F.col("block") + F.col("step")) % F.col("blocks"))
+    apart = F.when(F.col("step") == 1, 0).when(F.col("block") < F.col("other"), 2).otherwise(4)
+    met = other.withColumn("cell", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))).withColumn("guest", F.col("guest").bitwiseOR(apart))
+    return met.drop("blocks", "block", "step", "other")
+
+
 def near_copies(
     df: DataFrame, id_col: str = "id", group_col: str = "evidence_id", digest_col: str = "tlsh", content_col: str = "sha256", most: int = 40, large_group: int = LARGE_GROUP, split_group: int = SPLIT_GROUP
 ) -> DataFrame:
@@ -210,7 +205,8 @@ def near_copies(
     classes are then expanded to rows. NULLs in any of the four columns and malformed digests are no
     case. Rows repeated under the same id give each pair once. Empty tables give an empty result;
     other columns are ignored. Verified pairs are exact; a pair at the full distance may be missed
-    with the small probability measured in the README.
+    with the small probability measured in the README. ``large_group`` and ``split_group`` say where
+    the work is divided and change no pair.
     """
     rows = (
         df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{group_col}`").cast("bigint").alias("grp"), F.lower(F.col(f"`{content_col}`")).alias("content"), F.col(f"`{digest_col}`").alias("digest"))
@@ -221,13 +217,14 @@ def near_copies(
     )
     rows = cut(rows)  # parsed once: it is read four times
     cells = _cells(rows.drop("id"), most, split_group)
-    large = cut(cells.groupBy("cell").count().where(F.col("count") > large_group).select("cell"))
-    any_large = bool(large.take(1))
+    halves = F.ceil(2 * F.col("count") / large_group).cast("int")  # of large_group rows each
+    large = cut(cells.groupBy("cell").count().where(F.col("count") > large_group).select("cell", halves.alias("blocks")))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = cells.join(_small(large), "cell", "left_anti") if any_large else cells
-    pairs = small.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _band_small(it, most), "grp bigint, cid_a bigint, cid_b bigint")
-    if any_large:
-        pairs = pairs.unionByName(_band_large(cells.join(_small(large), "cell", "left_semi"), most))
+    band = lambda c: c.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _band(it, most), "grp bigint, cid_a bigint, cid_b bigint")
+    if large.take(1):
+        pairs = band(cells.join(_small(large), "cell", "left_anti")).unionByName(band(_met(cells, large)))
+    else:
+        pairs = band(cells)
     member = rows.select("grp", "cid", "id").distinct()
     a = member.select("grp", F.col("cid").alias("cid_a"), F.col("id").alias("a"))
     b = member.select("grp", F.col("cid").alias("cid_b"), F.col("id").alias("b"))

@@ -54,6 +54,35 @@ def test_both_ways_agree_with_all_pairs(spark):
     assert set(split) == set(small)
 
 
+def at_the_limit(pairs=400):
+    """Pairs of one image whose bodies differ by one in 36 to 40 codes, which banding finds by chance."""
+    rng, out = random.Random(5), []
+    for k in range(pairs):
+        head, codes = digest(rng)[:6], [rng.randrange(4) for _ in range(128)]
+        other = list(codes)
+        for i in rng.sample(range(128), 36 + k % 5):
+            other[i] += 1 if other[i] == 0 else -1 if other[i] == 3 else rng.choice((-1, 1))
+        for v, c in enumerate((codes, other)):
+            out.append((2 * k + v, 1, head + "".join(f"{4 * c[i] + c[i + 1]:x}" for i in range(0, 128, 2)), f"s{k}-{v}"))
+    return out
+
+
+def test_the_ways_find_the_same_pairs(spark):
+    """Also those missed by chance are the same, however the work is divided."""
+    data = at_the_limit()
+    small = sorted(found(spark, data))
+    assert 370 <= len(small) < 400
+    for k in ({"large_group": 100}, {"split_group": 100}, {"split_group": 100, "large_group": 20}):
+        assert sorted(found(spark, data, **k)) == small
+
+
+def test_limits_too_wide_to_split_by_length(spark):
+    base = digest(random.Random(9))
+    data = [(i, 1, base[:2] + f"{i:02x}"[::-1] + base[4:], f"s{i}") for i in range(0, 256, 8)]
+    for most in (800, 1600, 4000):  # two cells, one cell, less than one
+        assert sorted(found(spark, data, most=most, split_group=5)) == sorted(brute(data, most))
+
+
 def test_lengths_are_split_exactly(spark):
     """Copies that differ in length by up to three steps, around every border of cells."""
     base = digest(random.Random(9))
